@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, mixing, secrets
+from weftgraph.llm import bagminhash, chat, mixing, secrets
 from weftgraph.llm.common import table
 from weftgraph.llm.language import identify
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.token_counts import count_tokens
 from weftgraph.llm.token_files import new_folder, read_token_files, write_token_files
+from weftgraph.llm.vector_graph import near_vectors
 from weftgraph.llm.word_table import decode, encode
 
 
@@ -24,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = decode(encode(table(spark, sf_dir, "documents")))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
@@ -38,6 +43,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
     write_token_files(table(spark, sf_dir, "documents"), path)
@@ -56,9 +65,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_secret_scan": op6_secret_scan,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
