@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import shared_dir, tokenizer_path
+from weftgraph.llm.common import shared_dir, small_batches, tokenizer_path
 from weftgraph.llm.word_table import _SYMBOLS, tokenizer
 
 #: Distinct words whose ids a worker keeps before it starts afresh.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 #: Rows in an Arrow batch that reading gives.
 READ_ROWS = 4096
 
@@ -106,6 +106,7 @@ def write_token_files(df: DataFrame, path: str, name: str = "word_bpe_49k.json",
     empty files, other columns are left out.
     """
     spark = df.sparkSession
+    small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dtype = "<u2" if max(tokenizer(tokenizer_path(name)).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     system, root = at_path(path)
