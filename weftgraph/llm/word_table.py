@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, tokenizer_path
+from weftgraph.llm.common import cut, small_batches, tokenizer_path
 
 #: Distinct words of the corpus-wide table at most; it is broadcast, so this bounds what is sent.
 TABLE_WORDS = 1 << 17
 #: Occurrences a word needs to be in that table.
 LEAST_COUNT = 8
 #: Distinct words beyond that table that a worker keeps before it starts afresh.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 # The byte-level pre-tokenizer's pattern, white space as Unicode has it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 
@@ -106,6 +106,7 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id
     One row for each input row: null ids stay null, null and empty texts have no ids, repeated rows stay, an empty table
     gives none, other columns are left out.
     """
+    small_batches(df.sparkSession)
     path = tokenizer_path(name)
     split = split_words(df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")), path)
     known = df.sparkSession.sparkContext.broadcast(word_table(split, path, name))
