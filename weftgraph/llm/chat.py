@@ -85,7 +85,8 @@ def leaf_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
         most = most if steps else going.bit_length() + 1
         steps.append(jump.where("up is not null").select("t", "n", "up"))
         ahead = jump.select("t", F.col("n").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("sum").alias("plus"))
-        jump = cut(jump.join(ahead, ["t", "up"], "left").select("t", "n", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("plus", F.lit(0.0))).alias("sum")))
+        moved = jump.where("up is not null").join(ahead, ["t", "up"], "left").select("t", "n", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("plus", F.lit(0.0))).alias("sum"))
+        jump = cut(jump.where("up is null").unionByName(moved))
     ends = leaves.join(jump.where("up is null"), ["t", "n"])
     ends = ends.select("t", F.col("n").alias("leaf"), F.row_number().over(Window.partitionBy("t").orderBy(F.desc("sum"), "n")).alias("rank"), "depth")
     if branches is not None:
