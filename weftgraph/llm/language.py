@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bytes_of, chunks, small_enough
+from weftgraph.llm.common import bytes_of, chunks, cut, small_enough
 from weftgraph.llm.quality import row_sums
 
 #: Rows with a language that training sees at most: those whose hashed id is least.
@@ -52,8 +52,8 @@ def runs_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run = (run ^ (run >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     inside = (c[1:-1] > 0) & ((c[:-2] > 0) | (c[2:] > 0))
     for k in (1, 2):
-        cut = at[1:] - k
-        inside[cut[(cut >= 0) & (cut < len(inside))]] = False
+        edge = at[1:] - k
+        inside[edge[(edge >= 0) & (edge < len(inside))]] = False
     kept = np.flatnonzero(inside)
     return ((run[kept] >> np.uint32(12)) & np.uint32(BUCKETS - 1)).astype(np.int64), np.searchsorted(kept, at)
 
@@ -159,7 +159,7 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int =
     seen = df.select(host.alias("host"), suffix.alias("suffix"), evidence.alias("e")).where(f"e.runs >= {LEAST_RUNS}")
     best = F.array_position(F.col("e.ll"), F.array_max("e.ll")).cast("int")
     counts = seen.select("host", "suffix", best.alias("b")).groupBy("host", "suffix").agg(*(F.sum((F.col("b") == i + 1).cast("long")).alias(f"c{i}") for i in range(k)))
-    counts = counts.select("host", "suffix", F.array(*(F.col(f"c{i}").cast("double") for i in range(k))).alias("c"))
+    counts = cut(counts.select("host", "suffix", F.array(*(F.col(f"c{i}").cast("double") for i in range(k))).alias("c")))
 
     def summed(by: list[str], frame: DataFrame) -> DataFrame:
         return frame.groupBy(*by).agg(F.array(*(F.sum(F.col("c")[i]) for i in range(k))).alias("c"))
