@@ -1,16 +1,83 @@
-"""The corpus pipeline: stages over `documents`, in order."""
+"""The corpus pipeline: five stages over `documents`, in order.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+writes what a stage returns to the shared folder and reads it back as the next one's docs, so no stage is worked out
+twice and a lost executor costs no more than its own stage.
+"""
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm.bagminhash import deduplicate
+from weftgraph.llm.common import shared_dir
+from weftgraph.llm.language import identify
+from weftgraph.llm.mixing import replicate, tempered_rates
+from weftgraph.llm.secrets import redact
+from weftgraph.llm.word_table import decode, encode
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without letters or with a posterior under one half go."""
+    return identify(docs, declared_col="lang").where("lang_accepted").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the least id."""
+    return deduplicate(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live-looking credentials masked in their texts."""
+    return redact(docs)
 
-STAGES: list = []
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources have their target shares, in a global random order."""
+    return replicate(docs, tempered_rates(docs)).select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the hash of the decoded text of each document."""
+    return decode(encode(docs)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", bpe),
+]
+
+#: The stages learn a model, hash with 64-bit arithmetic and tokenize, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        _drop(spark, path)
+    except Exception:  # the session may be gone; the folder is then left to whoever clears the shared one
+        return
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    root, before = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
+        if before:
+            _drop(spark, before)
+        before = f"{root}/{k}"
+    atexit.register(_drop_at_exit, spark, root)
     return docs
