@@ -70,7 +70,7 @@ RESULT_NAME = r"output(\d+)_pos(\d+)_alpha([\d.]+)_neg(\d+)_lr([\d.]+)_sm(\d)_bl
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """graph, pos, alpha, neg, lr, sm, bloom, before, after of each result file of a folder whose name gives parameters."""
-    rows = spark.read.option("wholetext", True).text(folder).withColumn("file", F.input_file_name()).where(F.col("file").rlike(RESULT_NAME))
+    rows = spark.read.text(folder, wholetext=True).withColumn("file", F.input_file_name()).where(F.col("file").rlike(RESULT_NAME))
     kinds = ("graph int", "pos int", "alpha double", "neg int", "lr double", "sm int", "bloom int")
     names = [F.regexp_extract("file", RESULT_NAME, k + 1).cast(kind.split()[1]).alias(kind.split()[0]) for k, kind in enumerate(kinds)]
     lines = F.split(F.trim("value"), r"\s+")
