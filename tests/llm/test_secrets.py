@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from weftgraph.llm import secrets
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -44,3 +46,11 @@ def test_ownership(spark):
     texts = sorted((str(r.doc_id), r.text or "") for r in secrets.redact(df).collect())
     assert texts == sorted([("1", "é [SECRET] x")] * 2 + [("2", f"{copied} [SECRET]"), ("3", copied), ("4", copied), ("None", ""), ("5", "none")])
     assert secrets.find_secrets(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
+def test_same_as_sql(spark):
+    d = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = db.execute(secrets.ORACLE_SQL).fetchall()
+    assert sorted(map(tuple, secrets.digest(secrets.find_secrets(spark.read.parquet(f"{d}/documents.parquet"))).collect())) == sorted(want)

@@ -113,3 +113,26 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
     done = F.aggregate("__live", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step, lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substr(text, acc["at"] + 1, F.length(text))))
     return keyed.join(live, "__key", "left").withColumn(text_col, F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(done)).select(*df.columns)
+
+
+def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    rx = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, {rx}) AS m, regexp_extract_all(text, {rx}, {group}) AS v, string_split_regex(text, {rx}) AS gaps FROM d WHERE regexp_matches(text, {rx})"
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({' UNION ALL '.join(_kind_sql(k, *kind) for k, kind in enumerate(KINDS))}),
+listed AS (SELECT doc_id, source, rank, kind, least, m, v, list_transform(gaps, lambda x: length(x)) AS g, list_transform(m, lambda x: length(x)) AS n, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (SELECT doc_id, source, rank, kind, start, start + length(m[i]) AS stop, v[i] AS value FROM (
+  SELECT *, coalesce(list_sum(g[1:i]), 0)::BIGINT + coalesce(list_sum(n[1:i-1]), 0)::BIGINT AS start FROM listed) WHERE length(v[i]) >= least),
+candidates AS (SELECT * FROM spans s WHERE rank < 3 OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.rank < 3 AND b.start < s.stop AND s.start < b.stop)),
+owned AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM candidates GROUP BY value),
+judged AS (SELECT c.*, owners < {EXAMPLE_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {LEAST_DISTINCT} AS live FROM candidates c JOIN owned USING (value)),
+kept AS (SELECT doc_id, rank, start, live, kind || ':' || start || ':' || stop AS line FROM judged WHERE rank < 3 OR live)
+SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(line, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(line, ',' ORDER BY start, rank), '') AS spans, count(*) FILTER (live) AS n_live
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
