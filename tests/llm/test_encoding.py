@@ -23,6 +23,7 @@ def test_word_table_same_as_library(spark):
         got = sorted(((r.doc_id, list(r.ids), r.text) for r in decode(encode(df)).collect()), key=str)
         want = [(r.doc_id, made.encode(r.text or "", add_special_tokens=False).ids) for r in df.collect()]
         assert got == sorted(((k, ids, made.decode(ids, skip_special_tokens=False)) for k, ids in want), key=str)
+        assert sorted(((r.doc_id, list(r.ids), r.text) for r in encode(df, decoded=True).collect()), key=str) == got
     assert decode(encode(rows(spark).limit(0))).count() == 0
     assert [r.text for r in decode(spark.createDataFrame([(1, None), (2, [30325])], "doc_id long, ids array<int>")).orderBy("doc_id").collect()] == ["", made.decode([30325])]
 

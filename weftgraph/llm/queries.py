@@ -14,7 +14,7 @@ from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.token_counts import count_tokens
 from weftgraph.llm.token_files import new_folder, read_token_files, write_token_files
 from weftgraph.llm.vector_graph import near_vectors
-from weftgraph.llm.word_table import decode, encode
+from weftgraph.llm.word_table import encode
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    both = encode(table(spark, sf_dir, "documents"), decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -20,7 +20,7 @@ LEAST_COUNT = 8
 #: Distinct words beyond that table that a worker keeps before it starts afresh.
 KEPT_WORDS = 100_000
 # The byte-level pre-tokenizer's pattern, white space as Unicode has it.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 
 
 @lru_cache(maxsize=2)
@@ -95,9 +95,11 @@ def word_table(split: DataFrame, path: str, name: str, most: int = TABLE_WORDS,
     return {r["word"]: r["ids"] for r in counted.where(F.col("n") >= above).select("word").mapInArrow(run, "word string, ids binary").toArrow().to_pylist()}
 
 
-def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of each row's whole text, as the tokenizers library encodes it without added special tokens.
 
+    decoded: text too, looked up from the ids as decode() does, in the same pass over Arrow batches.
+
     Spark splits the texts into words and counts the distinct ones. The frequent ones, TABLE_WORDS at most, are encoded
     once for the whole corpus and joined back by position from a broadcast table of that bound; a task encodes each
     other distinct word of an Arrow batch once and keeps KEPT_WORDS of them at most. Texts with special strings or
@@ -139,9 +141,11 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id
                     if text is not None:
                         rows[i] = made.encode(text, add_special_tokens=False).ids
                 out = pa.array(rows, pa.large_list(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), out.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
+            out = out.cast(pa.list_(pa.int32()))
+            text = [pa.array(texts_of(out, pieces(tokenizer_path(name))), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), out, *text], ["doc_id", "ids", "text"][: 2 + decoded])
 
-    return split.mapInArrow(run, "doc_id long, ids array<int>")
+    return split.mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def texts_of(ids: pa.Array, table: pa.Array) -> list[str]:
