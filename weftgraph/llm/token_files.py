@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from weftgraph.llm.common import shared_dir, small_batches, tokenizer_path
 from weftgraph.llm.word_table import _SYMBOLS, tokenizer
 
 #: Distinct words whose ids a worker keeps before it starts afresh.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 200_000
 #: Rows in an Arrow batch that reading gives.
 READ_ROWS = 4096
 
@@ -50,12 +51,13 @@ class WordIds(dict):
 
     def __init__(self, model, dtype: str):
         super().__init__()
-        self.model, self.dtype = model, dtype
+        self.model, self.kind = model, "H" if dtype == "<u2" else "I"
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self[word] = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SYMBOLS))], self.dtype).tobytes()
+        symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_SYMBOLS)
+        ids = self[word] = array(self.kind, [t.id for t in self.model.tokenize(symbols)]).tobytes()
         return ids
 
 
