@@ -77,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op6_secret_scan": secrets.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,
 }
