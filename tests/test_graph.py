@@ -260,3 +260,16 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted((r.window_start.hour, r.id, r.deg) for r in spark.table("deg").collect()) == [(0, 1, 2), (0, 2, 1), (0, 3, 1), (2, 1, 1), (2, 2, 1)]
+
+
+def test_sizing():
+    from weftgraph.plans import sizing
+
+    assert sizing.fits(10, 20, 4, 10 * 16 + 31 * 4) and not sizing.fits(10, 20, 4, 10 * 16 + 31 * 4 - 1)
+    parts, size = sizing.part_count(1_000_000, 128, 500_000_000)
+    assert (parts, size) == (5, 200_000)
+    with pytest.raises(ValueError):
+        sizing.part_count(10**9, 128, 10**9)
+    assert sizing.pool_rounds(2_500_000) == (2, 999_936) and sizing.pool_rounds(10) == (0, 0)
+    assert sizing.sample_priority(1, 3, 2, 1) == 17
+    assert sizing.parts_ahead(3, 0) == [0, 1] and sizing.parts_ahead(3, 5) == [0, 1]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftgraph.config import STRATEGIES, EmbedConfig, epoch_distribution, parameter_grid
 from weftgraph.functions import scalars as sc
 from weftgraph.operators import bloom, coarsen, graph, matrix, order, sampling, train
+from weftgraph.plans import sizing
 from weftgraph.plans.lineage import cut
 from weftgraph.sources import tables
 from weftgraph.sources.edges import with_lines
@@ -270,6 +271,19 @@ def o_pair_lattice(spark, d):
     return order.pair_lattice(spark, 7)
 
 
+@query(
+    "SELECT k::INT AS at, p::INT AS part FROM (SELECT DISTINCT x.k, unnest([y.a, y.b]) AS p FROM l x, l y, range(1, 3) AS s(step) WHERE y.k = (x.k + step) % 28)",
+    extra="l AS (SELECT a * (a + 1) // 2 + b AS k, a, b FROM range(7) AS x(a), range(7) AS y(b) WHERE b <= a)",
+)
+def o_parts_ahead(spark, d):
+    return spark.createDataFrame([(k, p) for k in range(28) for p in sizing.parts_ahead(7, k)], "at int, part int")
+
+
+@query("SELECT pool::INT AS pool, main::INT AS main, sub::INT AS sub, (pool * 25 + main * 5 + sub + 1)::INT AS priority FROM range(2) AS p(pool), range(5) AS m(main), range(5) AS s(sub)")
+def s_sample_priority(spark, d):
+    return spark.createDataFrame([(p, m, s, sizing.sample_priority(p, 5, m, s)) for p in range(2) for m in range(5) for s in range(5)], "pool int, main int, sub int, priority int")
+
+
 @query(
     "SELECT src, dst, ps AS part_src, pd AS part_dst, (greatest(ps, pd) * (greatest(ps, pd) + 1) // 2 + least(ps, pd))::INT AS pair FROM (SELECT src, dst, (src // size)::INT AS ps, (dst // size)::INT AS pd FROM hop, (SELECT (count(*) + 2) // 3 AS size FROM vert))",
     "hop",
