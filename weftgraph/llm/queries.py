@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from weftgraph.llm.common import table
 from weftgraph.llm.language import identify
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.token_counts import count_tokens
-from weftgraph.llm.token_files import new_folder, read_token_files, write_token_files
+from weftgraph.llm.token_files import drop_token_files, new_folder, read_token_files, write_token_files
 from weftgraph.llm.vector_graph import near_vectors
 from weftgraph.llm.word_table import encode
 
@@ -49,6 +50,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
+    atexit.register(drop_token_files, path)
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -176,3 +176,9 @@ def new_folder(spark: SparkSession) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
 
+
+def drop_token_files(path: str) -> None:
+    """Delete a folder of token files, if it is there."""
+    system, root = at_path(path)
+    if system.get_file_info(root).type == fs.FileType.Directory:
+        system.delete_dir(root)
