@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.ranking import global_rank
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,14 +28,11 @@ def part_supplier(spark: SparkSession, folder: str) -> DataFrame:
 def user_transitions(spark: SparkSession, folder: str) -> DataFrame:
     """src, dst, w: how often one user's event follows another's in time, directed.
 
-    Events are cut by day: inside a day the next event is a window, and each day's last event is followed by the next day's first.
+    Events are ranked in time by a range sort, and each is joined with the next rank, so no key gathers many of them.
     """
-    events = table(spark, folder, "events").select("user_id", "ts", "event_id", F.to_date("ts").alias("day"))
-    at = F.struct("ts", "event_id")
-    inside = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id")).alias("dst"))
-    ends = events.groupBy("day").agg(F.max_by("user_id", at).alias("src"), F.min_by("user_id", at).alias("first"))
-    between = ends.select("src", F.lead("first").over(Window.orderBy("day")).alias("dst"))
-    return inside.unionByName(between).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    ranked = global_rank(table(spark, folder, "events").select("user_id", "ts", "event_id"), F.col("ts"), F.col("event_id"))
+    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("user_id").alias("dst"))
+    return ranked.join(after, "rank").where("user_id <> dst").groupBy(F.col("user_id").alias("src"), "dst").agg(F.count("*").alias("w"))
 
 
 def quantities(spark: SparkSession, folder: str) -> DataFrame:
