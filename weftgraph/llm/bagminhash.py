@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bytes_of, chunks, cut, mix, shingles_of, small_enough, words_of
+from weftgraph.llm.common import bytes_of, chunks, cut, mix, shingles_of, small_batches, small_enough, words_of
 from weftgraph.llm.components import connected_components
 
 #: Words of a shingle, and least similarity of near-duplicates.
 SHINGLE, THRESHOLD = 5, 0.8
-#: Slots of a signature and slots of a band. A pair at the threshold misses all bands with probability 1.4e-7.
-SLOTS, BAND = 120, 4
-#: A pair is verified if so large a share of its slots agrees: the threshold less five standard deviations (3e-7).
-LEAST_AGREED = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5
+#: Slots of a signature and slots of a band. A pair at the threshold misses all bands with probability 5e-8.
+SLOTS, BAND = 128, 4
+#: Slots are kept as four bits, of which unlike ones agree once in 16. A pair is verified if as many agree as at the
+#: threshold less five standard deviations (3e-7).
+_AGREE = THRESHOLD + (1 - THRESHOLD) / 16
+LEAST_AGREED = int(SLOTS * _AGREE - 5 * (SLOTS * _AGREE * (1 - _AGREE)) ** 0.5)
 #: Ids to look texts up by are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +81,7 @@ def signatures(rows: np.ndarray, shingles: np.ndarray, times: np.ndarray, n: int
 
 
 def digests(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """(shingles, content hash, slots as 16 bits each, band hashes) of each row of bytes_of()."""
+    """(shingles, content hash, slots packed by four bits into words, band hashes) of each row of bytes_of()."""
     n = len(at) - 1
     rows, words, _ = words_of(data, at)
     r, s, times = multiset(*shingles_of(rows, words, SHINGLE))
@@ -93,7 +95,8 @@ def digests(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes],
     for k in range(BAND):
         key = mix(key * np.uint64(3) + bands[:, :, k])
     key = mix(key + np.arange(key.shape[1], dtype=np.uint64) * _STEP)
-    return count, [c.tobytes() for c in content], (value & np.uint64(0xFFFF)).astype("<u2"), key.view(np.int64)
+    nibble = (value & np.uint64(15)).reshape(n, SLOTS // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return count, [c.tobytes() for c in content], nibble.sum(2, dtype=np.uint64).view(np.int64), key.view(np.int64)
 
 
 def signed(df: DataFrame) -> DataFrame:
@@ -104,10 +107,10 @@ def signed(df: DataFrame) -> DataFrame:
             data, at = bytes_of(batch.column(1))
             for first, last, part, ends in chunks(data, at):
                 count, content, slots, bands = digests(part, ends)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1]), pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(count), pa.array(content, pa.binary()), pa.array([x.tobytes() for x in slots], pa.binary()), lists], ["k", "shingles", "content", "slots", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in (slots, bands)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(count), pa.array(content, pa.binary()), *lists], ["k", "shingles", "content", "slots", "bands"])
 
-    return df.select("k", "text").mapInArrow(run, "k long, shingles long, content binary, slots binary, bands array<long>")
+    return df.select("k", "text").mapInArrow(run, "k long, shingles long, content binary, slots array<long>, bands array<long>")
 
 
 def element_sets(df: DataFrame) -> DataFrame:
@@ -129,15 +132,11 @@ def element_sets(df: DataFrame) -> DataFrame:
     return df.select("k", "text").mapInArrow(run, "k long, elements binary")
 
 
-def agreed(a: Column, b: Column) -> Column:
-    """Share of slots in which two signatures agree."""
-
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in batches:
-            both = [np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, SLOTS) for c in (x, y)]
-            yield pa.array((both[0] == both[1]).mean(1) if len(x) else [], pa.float64())
-
-    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)(a, b)
+def agreed(a: str, b: str) -> str:
+    """SQL for the number of slots in which two packed signatures agree."""
+    unlike = [f"({a}[{k}] ^ {b}[{k}])" for k in range(SLOTS // 16)]
+    folded = [f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & {0x1111111111111111}L)" for d in unlike]
+    return f"({SLOTS} - ({' + '.join(folded)}))"
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -164,7 +163,7 @@ def likely(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough to be worth verifying."""
     slots = groups.select(F.col("node").alias("a"), F.col("slots").alias("sa"))
     found = pairs.join(slots, "a").join(slots.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
-    return found.where(agreed(F.col("sa"), F.col("sb")) >= LEAST_AGREED).select("a", "b")
+    return found.where(f"{agreed('sa', 'sb')} >= {LEAST_AGREED}").select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -190,6 +189,7 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     words have one shingle, so only equal ones meet. Texts that share an id are of one class. Repeated rows stay, an
     empty table gives none, other columns are left out.
     """
+    small_batches(df.sparkSession, 1000)
     docs = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     rows = cut(signed(docs))
     usable = rows.where("shingles > 0 and k is not null")
@@ -204,11 +204,12 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     real = docs.where("k is not null")
     links = cut(verified(cut(likely(star, nodes)), real, threshold))
     parts = connected_components(links)
-    member = crowded.join(parts, crowded["node"] == parts["node"], "left").select("key", crowded["node"], F.coalesce("component", crowded["node"]).alias("component"))
+    member = crowded.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = cut(member.join(mixed, "key"))
-    across = open_rows.alias("x").join(open_rows.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component")).selectExpr("x.node a", "y.node b").distinct()
-    more = cut(verified(cut(likely(across.join(star, ["a", "b"], "left_anti"), nodes)), real, threshold))
+    open_rows = cut(member.join(mixed, "key").join(nodes.select("node", "slots"), "node"))
+    near = f"x.key = y.key and x.node < y.node and x.component <> y.component and {agreed('x.slots', 'y.slots')} >= {LEAST_AGREED}"
+    across = open_rows.alias("x").join(open_rows.alias("y"), F.expr(near)).selectExpr("x.node a", "y.node b").distinct()
+    more = cut(verified(cut(across.join(star, ["a", "b"], "left_anti")), real, threshold))
     every = links.unionByName(more)
     final = connected_components(every)
     partners = every.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x")).select("x.*")
