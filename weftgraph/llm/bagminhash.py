@@ -9,7 +9,7 @@ are followed only up to the time by which every slot is filled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ _AGREE = THRESHOLD + (1 - THRESHOLD) / 16
 LEAST_AGREED = int(SLOTS * _AGREE - 5 * (SLOTS * _AGREE * (1 - _AGREE)) ** 0.5)
 #: Ids to look texts up by are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Nodes of a bucket, and of a group of alike texts, that are compared at once.
+BUCKET_BLOCK, GROUP_BLOCK = 2000, 400
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,51 +141,181 @@ def agreed(a: str, b: str) -> str:
     return f"({SLOTS} - ({' + '.join(folded)}))"
 
 
+def similarity(p: np.ndarray, q: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of hashes; 0 where their sizes already rule THRESHOLD out."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if len(small) < THRESHOLD * len(large):
+        return 0.0
+    at = np.searchsorted(large, small)
+    same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return same / (len(p) + len(q) - same)
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sorted sets of hashes."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")
-                if min(len(p), len(q)) < THRESHOLD * max(len(p), len(q)):
-                    out.append(0.0)
-                    continue
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.searchsorted(large, small)
-                same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                out.append(same / (len(p) + len(q) - same))
+            out = [similarity(np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")) for p, q in zip(x, y, strict=True)]
             yield pa.array(out, pa.float64())
 
     return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)(a, b)
 
 
-def likely(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough to be worth verifying."""
-    slots = groups.select(F.col("node").alias("a"), F.col("slots").alias("sa"))
+    slots = nodes.select(F.col("node").alias("a"), F.col("slots").alias("sa"))
     found = pairs.join(slots, "a").join(slots.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
     return found.where(f"{agreed('sa', 'sb')} >= {LEAST_AGREED}").select("a", "b")
 
 
+def elements_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """k, elements of the documents (k, text) whose k is in ids."""
+    wanted = docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "k", "left_semi")
+    return cut(element_sets(wanted).groupBy("k").agg(F.min("elements").alias("elements")))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of document ids whose shingle multisets overlap by at least the threshold."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    wanted = docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "k", "left_semi")
-    sets = cut(element_sets(wanted).groupBy("k").agg(F.min("elements").alias("elements")))
+    sets = elements_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()), docs)
     left = pairs.join(sets.select(F.col("k").alias("a"), F.col("elements").alias("ea")), "a")
     both = left.join(sets.select(F.col("k").alias("b"), F.col("elements").alias("eb")), "b")
     return both.where(overlap(F.col("ea"), F.col("eb")) >= threshold).select("a", "b")
 
 
+def by_group(rows: DataFrame, group: list[str], run: Callable[[pa.Table], list[tuple[int, int]]], parts: int | None = None) -> DataFrame:
+    """a, b: what run() gives for the rows of each group. Groups are dealt out by hash and sorted; those cut by the end of an Arrow batch are put together again."""
+    width = len(group)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table | None]:
+            keys = np.stack([rows.column(k).to_numpy() for k in range(width)], 1)
+            ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys))
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(np.append(0, ends[:-1]), ends if last else ends[:-1], strict=False):
+                out += run(rows.slice(int(lo), int(hi - lo)))
+            return out, None if last else rows.slice(int(ends[-2]) if len(ends) > 1 else 0)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if held[0].column(0)[0] == batch.column(0)[-1] and all(held[0].column(k)[0] == batch.column(k)[-1] for k in range(width)):
+                continue
+            out, rest = flush(pa.Table.from_batches(held).combine_chunks(), False)
+            held = rest.to_batches()
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        if held:
+            out, _ = flush(pa.Table.from_batches(held).combine_chunks(), True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    dealt = rows.repartition(*([parts] if parts else []), *group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(each, "a long, b long")
+
+
+def slot_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.combine_chunks().flatten().to_numpy()).reshape(len(column), SLOTS // 16).view(np.uint64)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Agreeing slots of each packed signature of x with each of y."""
+    unlike = np.zeros((len(x), len(y)), np.int64)
+    for k in range(x.shape[1]):
+        d = x[:, k, None] ^ y[None, :, k]
+        d = (d | (d >> np.uint64(1)) | (d >> np.uint64(2)) | (d >> np.uint64(3))) & np.uint64(0x1111111111111111)
+        unlike += np.bitwise_count(d)
+    return SLOTS - unlike
+
+
+class Forest:
+    """Labels that are joined as links are found."""
+
+    def __init__(self, labels: np.ndarray):
+        self.up = {x: x for x in labels.tolist()}
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def likely_forest(rows: pa.Table) -> list[tuple[int, int]]:
+    """Links that join the nodes of a bucket's block as its likely pairs across components do. Rows: key, qb, tb, node, component, slots, query."""
+    node, component, query = (rows[c].to_numpy() for c in ("node", "component", "query"))
+    slots, asked = slot_matrix(rows["slots"]), np.flatnonzero(query)
+    forest, out = Forest(node), []
+    for i in range(0, len(asked), 256):
+        own = asked[i : i + 256]
+        near = (agreement(slots[own], slots) >= LEAST_AGREED) & (component[own][:, None] != component[None, :])
+        for q, t in zip(*np.nonzero(near), strict=True):
+            a, b = int(node[own[q]]), int(node[t])
+            if forest.join(a, b):
+                out.append((min(a, b), max(a, b)))
+    return out
+
+
+def verified_forest(rows: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Verified links that join components inside a block of a group, best agreement first. Rows: group, i, j, node, component, block, slots, elements."""
+    node, component, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
+    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+    slots, elements = slot_matrix(rows["slots"]), [np.frombuffer(x.as_py(), "<u8") for x in rows["elements"]]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    same = agreement(slots[left], slots[right])
+    near = (same >= LEAST_AGREED) & (component[left][:, None] != component[right][None, :])
+    if i == j:
+        near &= left[:, None] < right[None, :]
+    p, q = np.nonzero(near)
+    forest, out = Forest(component), []
+    for k in np.argsort(-same[p, q], kind="stable"):
+        a, b = left[p[k]], right[q[k]]
+        ca, cb = int(component[a]), int(component[b])
+        if forest.root(ca) != forest.root(cb) and similarity(elements[a], elements[b]) >= threshold:
+            forest.join(ca, cb)
+            out.append((int(min(node[a], node[b])), int(max(node[a], node[b]))))
+    return out
+
+
+def across(crowded: DataFrame, parts: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between components that share buckets, enough of them to join what any link joins.
+
+    In a bucket of several components, nodes outside its first node's component are compared by signature with all of
+    the bucket, in blocks of BUCKET_BLOCK; a block returns a forest, not pairs. The forests' components are groups of
+    alike texts, whose blocks of GROUP_BLOCK nodes are then compared by signature and verified, again to forests.
+    """
+    member = cut(crowded.select("key", "node", "p1", "n").join(parts, "node", "left").select("key", "node", "p1", "n", F.coalesce("component", "node").alias("component")))
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("node") == F.col("p1"), F.col("component"))).alias("main")).where("lo <> hi").select("key", "main")
+    rows = member.join(mixed, "key").join(nodes.select("node", "slots"), "node").withColumn("query", F.col("component") != F.col("main"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # block (qb, tb): the queries of qb against the nodes of tb
+    targets = rows.select("key", F.explode(every).alias("qb"), F.col("own").alias("tb"), "node", "component", "slots", (F.col("query") & (F.col("own") == F.col("qb"))).alias("query"))
+    asking = rows.where("query and blocks > 1").select("key", F.col("own").alias("qb"), F.explode(F.filter(every, lambda b: b != F.col("own"))).alias("tb"), "node", "component", "slots", "query")
+    alike = connected_components(by_group(targets.unionByName(asking), ["key", "qb", "tb"], likely_forest))
+    grouped = cut(alike.select("node", F.col("component").alias("group")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    whole = grouped.join(sizes, "group").join(nodes.select("node", "slots"), "node")
+    whole = whole.join(elements_of(grouped.select(F.col("node").alias("k")), docs).withColumnRenamed("k", "node"), "node")
+    whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = whole.select("group", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "node", "component", "block", "slots", "elements")
+    return by_group(dealt, ["group", "i", "j"], lambda rows: verified_forest(rows, threshold))
+
+
 def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), shingles and links of each row: classes are the connected components of near-duplicates.
+    """doc_id, class_id (least doc_id of the class) and shingles of each row: classes are the connected components of near-duplicates.
 
     1. Each text gets a content hash and a signature; equal contents become one node. 2. Nodes that share a band's hash
-    are in a bucket. Each is paired with the bucket's first node in two random orders, likely pairs are verified by the
-    overlap of the multisets, and components are formed. 3. In buckets that still hold several components, every pair
-    across components that is likely is verified, and components are formed again: so no bucket is capped, and a large
-    group of copies, which its first nodes join, is not paired up. links counts verified partners and equal contents.
+    are in a bucket. Each is paired with two nodes of the bucket: the one that meets most nodes over all its buckets,
+    which in a group of edited copies is the original, and the first in a random order. Likely pairs are verified by
+    the overlap of the multisets, and components are formed. 3. What these stars leave apart inside a bucket is
+    compared in full, in blocks: see across(). So no bucket is capped and no group is paired up.
 
     One row for each input row. Rows without an id or without a word are in no class (class_id: their id). Texts of 1 to 4
     words have one shingle, so only equal ones meet. Texts that share an id are of one class. Repeated rows stay, an
@@ -193,31 +325,22 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     docs = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     rows = cut(signed(docs))
     usable = rows.where("shingles > 0 and k is not null")
-    groups = cut(usable.groupBy("content").agg(F.min("k").alias("node"), F.min(F.struct("slots", "bands")).alias("x"), F.count("*").alias("copies")).select("content", "node", "x.slots", "x.bands", "copies"))
-    nodes = groups.groupBy("node").agg(F.min(F.struct("slots", "bands")).alias("x"), F.sum("copies").alias("copies")).select("node", "x.slots", "x.bands", "copies")
+    groups = cut(usable.groupBy("content").agg(F.min("k").alias("node"), F.min(F.struct("slots", "bands")).alias("x")).select("content", "node", "x.slots", "x.bands"))
+    nodes = groups.groupBy("node").agg(F.min(F.struct("slots", "bands")).alias("x")).select("node", "x.slots", "x.bands")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    orders = [F.min(F.struct(F.xxhash64(F.lit(seed), "node"), "node"))["node"].alias(f"p{seed}") for seed in (1, 2)]
-    firsts = buckets.groupBy("key").agg(F.count("*").alias("n"), *orders).where("n > 1")
-    crowded = cut(buckets.join(firsts, "key").select("key", "node", "p1", "p2"))
+    crowded = cut(buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    met = crowded.groupBy("node").agg(F.sum("n").alias("met"))
+    firsts = crowded.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("p1"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("p2"))
+    crowded = cut(crowded.join(firsts, "key"))
     star = crowded.select("node", F.explode(F.array("p1", "p2")).alias("p")).where("node <> p")
     star = star.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
     real = docs.where("k is not null")
     links = cut(verified(cut(likely(star, nodes)), real, threshold))
-    parts = connected_components(links)
-    member = crowded.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = cut(member.join(mixed, "key").join(nodes.select("node", "slots"), "node"))
-    near = f"x.key = y.key and x.node < y.node and x.component <> y.component and {agreed('x.slots', 'y.slots')} >= {LEAST_AGREED}"
-    across = open_rows.alias("x").join(open_rows.alias("y"), F.expr(near)).selectExpr("x.node a", "y.node b").distinct()
-    more = cut(verified(cut(across.join(star, ["a", "b"], "left_anti")), real, threshold))
-    every = links.unionByName(more)
-    final = connected_components(every)
-    partners = every.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x")).select("x.*")
-    partners = partners.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("partners"))
-    judged = groups.select("content", "node").join(nodes.select("node", "copies"), "node").join(final, "node", "left").join(partners, "node", "left")
-    judged = judged.select("content", F.coalesce("component", "node").alias("class"), (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    more = cut(across(crowded, connected_components(links), nodes, real, threshold))
+    final = connected_components(links.unionByName(more))
+    judged = groups.select("content", "node").join(final, "node", "left").select("content", F.coalesce("component", "node").alias("class"))
     keyed = rows.select("k", "shingles", F.when((F.col("shingles") > 0) & F.col("k").isNotNull(), F.col("content")).alias("content"))
-    return keyed.join(judged, "content", "left").select(F.col("k").alias("doc_id"), F.coalesce("class", "k").alias("class_id"), "shingles", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return keyed.join(judged, "content", "left").select(F.col("k").alias("doc_id"), F.coalesce("class", "k").alias("class_id"), "shingles")
 
 
 def deduplicate(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
