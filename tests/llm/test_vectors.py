@@ -1,6 +1,6 @@
 import numpy as np
 
-from weftgraph.llm import vector_graph
+from weftgraph.llm import components, vector_graph
 from weftgraph.llm.components import connected_components
 
 
@@ -45,7 +45,7 @@ def test_documents_recall(spark):
     assert vector_graph.recall(df, vector_graph.near_vectors(df), every=5) >= 0.99
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     draw = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in draw.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 1)]
     label = {}
@@ -63,3 +63,5 @@ def test_components(spark):
                 ahead += near[n]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == label and len(got) == len(label)
+    monkeypatch.setattr(components, "TASK_LINKS", 50)
+    assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == label

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import cut
 
+#: Links that a task takes; a graph has one task for each so many, so small graphs don't cost many tiny files.
+TASK_LINKS = 200_000
+
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component: each node of the links (a, b) and the least node it reaches. Self-links only name a node.
@@ -16,14 +19,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct()
     named = cut(pairs)
-    links, before = named.where("u <> v"), None
+    tasks = 1 + named.count() // TASK_LINKS
+    links, before = named.where("u <> v").coalesce(tasks), None
     for _ in range(rounds):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = cut(small.distinct())
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+        small = moved.unionByName(least.select("u", F.col("m").alias("v")).coalesce(tasks)).coalesce(tasks)
+        links = cut(small.distinct().coalesce(tasks))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == before:
             break
