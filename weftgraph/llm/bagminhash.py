@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bytes_of, chunks, cut, mix, shingles_of, small_batches, small_enough, words_of
+from weftgraph.llm.common import bytes_of, chunks, cut, mix, shingles_of, small_batches, small_enough, tidy, words_of
 from weftgraph.llm.components import connected_components
 
 #: Words of a shingle, and least similarity of near-duplicates.
@@ -112,7 +112,7 @@ def signed(df: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in (slots, bands)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(count), pa.array(content, pa.binary()), *lists], ["k", "shingles", "content", "slots", "bands"])
 
-    return df.select("k", "text").mapInArrow(run, "k long, shingles long, content binary, slots array<long>, bands array<long>")
+    return df.select("k", "text").mapInArrow(tidy(run), "k long, shingles long, content binary, slots array<long>, bands array<long>")
 
 
 def element_sets(df: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def element_sets(df: DataFrame) -> DataFrame:
                 e = e[order].astype("<u8")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([e[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["k", "elements"])
 
-    return df.select("k", "text").mapInArrow(run, "k long, elements binary")
+    return df.select("k", "text").mapInArrow(tidy(run), "k long, elements binary")
 
 
 def agreed(a: str, b: str) -> str:
@@ -159,7 +159,7 @@ def overlap(a: Column, b: Column) -> Column:
             out = [similarity(np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")) for p, q in zip(x, y, strict=True)]
             yield pa.array(out, pa.float64())
 
-    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)(a, b)
+    return F.arrow_udf(tidy(run), "double", F.ArrowUDFType.SCALAR_ITER)(a, b)
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def by_group(rows: DataFrame, group: list[str], run: Callable[[pa.Table], list[t
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     dealt = rows.repartition(*([parts] if parts else []), *group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(each, "a long, b long")
+    return dealt.mapInArrow(tidy(each), "a long, b long")
 
 
 def slot_matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker; a longer single text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: ASCII white space, the separators of words.
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -39,6 +41,21 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a generator over Arrow batches, giving freed memory back to the system when it ends: workers live on after a task."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,10 +110,17 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none
-    run = np.zeros(len(data), np.int64)
-    run[starts] = np.diff(starts, prepend=0)
-    place = (np.arange(len(data)) - np.cumsum(run)) & 0xFFFF
-    summed = np.add.reduceat(_BYTE_VALUE[data] * _PLACE[place], starts)
+    summed = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # by stretches of bytes, as the sums take many times a text's size
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK_BYTES, "left")))
+        lo, hi = starts[first], starts[last] if last < len(starts) else len(data)
+        own = starts[first:last] - lo
+        run = np.zeros(hi - lo, np.int64)
+        run[own] = np.diff(own, prepend=0)
+        place = (np.arange(hi - lo) - np.cumsum(run)) & 0xFFFF
+        summed[first:last] = np.add.reduceat(_BYTE_VALUE[data[lo:hi]] * _PLACE[place], own)
+        first = last
     rows = np.searchsorted(at, starts, "right") - 1
     return rows, mix(summed), starts
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bytes_of, chunks, cut, small_enough
+from weftgraph.llm.common import bytes_of, chunks, cut, small_batches, small_enough, tidy
 from weftgraph.llm.quality import row_sums
 
 #: Rows with a language that training sees at most: those whose hashed id is least.
@@ -118,7 +118,7 @@ def text_evidence(model: Model, text: Column) -> Column:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(model.languages)), pa.int32()), pa.array(flat))
             yield pa.StructArray.from_arrays([lists, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())], ["ll", "runs"])
 
-    return F.arrow_udf(run, "struct<ll:array<double>,runs:bigint>", F.ArrowUDFType.SCALAR_ITER)(text)
+    return F.arrow_udf(tidy(run), "struct<ll:array<double>,runs:bigint>", F.ArrowUDFType.SCALAR_ITER)(text)
 
 
 def host_of(url: Column) -> Column:
@@ -149,6 +149,7 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int =
     table, or no labelled row, gives null languages, none accepted.
     """
     own = [c for c in df.columns if c not in ("lang_id", "lang_p", "lang_accepted")]
+    small_batches(df.sparkSession)
     model = train(df if labelled is None else labelled, train_rows, id_col, text_col, lang_col)
     if model is None:
         return df.select(*own, F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("lang_p"), F.lit(False).alias("lang_accepted"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SPACES, bytes_of, chunks, mix, shingles_of, words_of
+from weftgraph.llm.common import SPACES, bytes_of, chunks, mix, shingles_of, small_batches, words_of
 
 #: Labelled rows that training sees at most: those whose hashed id is least.
 TRAIN_ROWS = 3000
@@ -194,6 +194,7 @@ def quality_rules(df: DataFrame, labels: DataFrame, threshold: float = LEAST_PRO
     One row for each input row: null ids stay null, null and empty texts have no words and fail, repeated rows stay,
     an empty table gives none, other columns are left out. Labels that are null are left out.
     """
+    small_batches(df.sparkSession)
     model = train(training_rows(df, labels, train_rows, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, small_batches, tokenizer_path
+from weftgraph.llm.common import cut, small_batches, tidy, tokenizer_path
 
 #: Distinct words of the corpus-wide table at most; it is broadcast, so this bounds what is sent.
 TABLE_WORDS = 1 << 17
@@ -108,7 +108,7 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id
     One row for each input row: null ids stay null, null and empty texts have no ids, repeated rows stay, an empty table
     gives none, other columns are left out.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 500)
     path = tokenizer_path(name)
     split = split_words(df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")), path)
     known = df.sparkSession.sparkContext.broadcast(word_table(split, path, name))
@@ -145,7 +145,7 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id
             text = [pa.array(texts_of(out, pieces(tokenizer_path(name))), pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([batch.column(0), out, *text], ["doc_id", "ids", "text"][: 2 + decoded])
 
-    return split.mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    return split.mapInArrow(tidy(run), "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def texts_of(ids: pa.Array, table: pa.Array) -> list[str]:
