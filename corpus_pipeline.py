@@ -18,7 +18,7 @@ from weftgraph.llm.common import shared_dir
 from weftgraph.llm.language import identify
 from weftgraph.llm.mixing import replicate, tempered_rates
 from weftgraph.llm.secrets import redact
-from weftgraph.llm.word_table import decode, encode
+from weftgraph.llm.word_table import encode
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the hash of the decoded text of each document."""
-    return decode(encode(docs)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+    return encode(docs, decoded=True).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
