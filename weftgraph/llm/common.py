@@ -45,11 +45,11 @@ def tidy(run: Callable) -> Callable:
     """run, a generator over Arrow batches, giving freed memory back to the system when it ends: workers live on after a task."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())  # others keep freed buffers for later
         try:
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
             if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
                 trim(0)
 
