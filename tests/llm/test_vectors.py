@@ -32,6 +32,14 @@ def test_clusters_split_shards_and_copies(spark):
     check(spark, rows, shard_rows=30, most=40)
 
 
+def test_group_over_many_shards(spark):
+    draw = np.random.default_rng(11)
+    hot = draw.normal(size=16)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([draw.normal(size=(200, 16)), hot + 0.12 * draw.normal(size=(400, 16))]))]
+    check(spark, rows, shard_rows=30)
+    check(spark, rows, shard_rows=30, most=25)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [3.0, 0.0, 0.0]), (None, [1.0, 0.0]), (11, [1e-30, 1e-32])]

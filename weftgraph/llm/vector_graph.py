@@ -14,7 +14,7 @@ from weftgraph.llm.components import connected_components
 
 #: Least cosine of a link.
 THRESHOLD = 0.95
-#: Distinct vectors that a shard has on average before overlap, shards that each vector is put into, and vectors of a shard at most before it is split.
+#: Distinct vectors that a shard has on average before overlap, shards that each vector is a node of, and nodes, or queries, of a shard at most before it is split.
 SHARD_ROWS, OVERLAP, SHARD_MOST = 1500, 3, 12_000
 #: Rows that centroids are learned from at most, and centroids at most.
 SAMPLE_ROWS, MOST_CENTROIDS = 20_000, 4096
@@ -23,6 +23,10 @@ CANDIDATES, DEGREE, RANDOM, ALPHA = 64, 20, 8, 1.2
 #: Width of the greedy search, medoids it starts from, and how far under the threshold expansion still follows edges.
 BEAM, STARTS, SLACK = 48, 16, 0.04
 _BLOCK = 256
+#: Bits of a row's role in a shard: a node of its graph, a node at home (links are counted to these), a query.
+NODE, HOME, QUERY = 1, 2, 4
+#: A walk that has met more than one in so many of a block's pairs gives way to direct products, which are then cheaper.
+DENSE = 64
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -113,8 +117,16 @@ def greedy(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray)
     return beam, sim
 
 
+def products(x: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of the nodes with cosine >= threshold, by the cosines of all."""
+    return np.nonzero(q @ x.T >= threshold)
+
+
 def in_range(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of the nodes with cosine >= threshold: greedy search, then expansion from what it found as long as nodes are in range."""
+    """(query, node) of the nodes with cosine >= threshold: greedy search, then expansion from what it found as long as nodes are in range.
+
+    Where that meets many pairs, all are worked out directly.
+    """
     n = len(x)
     beam, sim = greedy(x, edges, starts, q)
     near = (beam >= 0) & (sim >= threshold - SLACK)
@@ -124,7 +136,10 @@ def in_range(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray
     cos = np.einsum("pd,pd->p", q[row], x[node])
     found = [(row * n + node)[cos >= threshold]]
     at = row * n + node
+    met = len(at)
     while len(at):
+        if met * DENSE > len(q) * n:
+            return products(x, q, threshold)
         ahead = []
         for i in range(0, len(at), 20_000):
             part = at[i : i + 20_000]
@@ -136,6 +151,7 @@ def in_range(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray
             found.append(flat[s >= threshold])
             ahead.append(flat[s >= threshold - SLACK])
         at = np.concatenate(ahead)
+        met += len(at)
     both = np.concatenate(found)
     return both // n, both % n
 
@@ -167,7 +183,7 @@ def usable(vec: Column) -> Column:
 
 
 def build_graph(shards: DataFrame) -> DataFrame:
-    """node, nbrs: the union of the edges that each shard's own graph gives a node. shards: shard, part, node, role, vec."""
+    """node, nbrs: the union of the edges that each shard's own graph gives a node. shards: shard, part, block, node, role, vec."""
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")
@@ -177,47 +193,81 @@ def build_graph(shards: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids[b], pa.int64()))
         return pa.table({"node": ids, "nbrs": lists})
 
-    built = shards.where("role < 2").groupBy("shard", "part").applyInArrow(build, "node long, nbrs array<long>")
+    built = shards.where(f"block = 0 and role & {NODE} > 0").groupBy("shard", "part").applyInArrow(build, "node long, nbrs array<long>")
     return built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
 
 
 def search_graph(shards: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
-    """node, links, label: for each query of a shard the copies in range; and, with links null, each node with the least node its shard joins it to."""
+    """node, links, label: for each query of a shard the copies in range at home there; and, with links null, each node with the least node its shard joins it to.
+
+    Queries that are nodes at home walk the graph; guests are multiplied with the nodes at home.
+    """
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")
         ids, role, copies = table["node"].to_numpy(), table["role"].to_numpy(), table["n"].to_numpy()
         x_all = unit_rows(table["vec"].chunk(0))
-        nodes, queries = np.flatnonzero(role < 2), np.flatnonzero(role > 0)
-        links, label = np.zeros(len(queries), np.int64), np.arange(len(ids))
-        if len(nodes) and len(queries):
-            x, own = x_all[nodes], ids[nodes]
+        nodes, home = np.flatnonzero(role & NODE), np.flatnonzero(role & HOME)
+        own, guests = np.flatnonzero(role & (HOME | QUERY) == HOME | QUERY), np.flatnonzero(role & (HOME | QUERY) == QUERY)
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+        def found(block: np.ndarray, row: np.ndarray, node: np.ndarray) -> None:
+            nonlocal label
+            keep = block[row] != node
+            row, node = row[keep], node[keep]
+            links[block] = np.bincount(row, copies[node], minlength=len(block)).astype(np.int64)
+            label = joined_labels(label, block[row], node)
+
+        if len(own):
+            x, inside, node_ids = x_all[nodes], role[nodes] & HOME > 0, ids[nodes]
             lists = table["nbrs"].chunk(0)
             edges = []
             for i in nodes:
                 to = np.array(lists[int(i)].as_py() or [], np.int64)
-                at = np.searchsorted(own, to)
-                at = at[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == to)]
+                at = np.searchsorted(node_ids, to)
+                at = at[(at < len(node_ids)) & (node_ids[np.minimum(at, len(node_ids) - 1)] == to)]
                 edges.append(at)
             matrix, starts = padded(edges), medoids(x)
-            for i in range(0, len(queries), _BLOCK):
-                block = queries[i : i + _BLOCK]
+            for i in range(0, len(own), _BLOCK):
+                block = own[i : i + _BLOCK]
                 row, node = in_range(x, matrix, starts, x_all[block], threshold)
-                a, b = block[row], nodes[node]
-                row, a, b = row[a != b], a[a != b], b[a != b]
-                links[i : i + _BLOCK] = np.bincount(row, copies[b], minlength=len(block)).astype(np.int64)
-                label = joined_labels(label, a, b)
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"node": np.concatenate([ids[queries], ids[moved]]), "links": pa.array([*links.tolist(), *[None] * len(moved)], pa.int64()), "label": pa.array([*[None] * len(queries), *ids[label[moved]].tolist()], pa.int64())})
+                found(block, row[inside[node]], nodes[node[inside[node]]])
+        if len(home):
+            x = x_all[home]
+            for i in range(0, len(guests), _BLOCK):
+                block = guests[i : i + _BLOCK]
+                row, node = products(x, x_all[block], threshold)
+                found(block, row, home[node])
+        linked, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"node": np.concatenate([ids[linked], ids[moved]]), "links": pa.array([*links[linked].tolist(), *[None] * len(moved)], pa.int64()), "label": pa.array([*[None] * len(linked), *ids[label[moved]].tolist()], pa.int64())})
 
-    return shards.join(graph, "node", "left").groupBy("shard", "part").applyInArrow(search, "node long, links long, label long")
+    return shards.join(graph, "node", "left").groupBy("shard", "part", "block").applyInArrow(search, "node long, links long, label long")
 
 
-def shard(groups: DataFrame, shard_rows: int, overlap: int, most: int) -> DataFrame:
-    """shard, part, node, n, role, vec: each vector under its `overlap` nearest centroids of its length.
+def roles(x: np.ndarray, c: np.ndarray, overlap: int, threshold: float) -> np.ndarray:
+    """Bits of the role of each row of x in the shard of each centroid; 0 where it has none.
 
-    role 1: node and query, at its nearest; 0: node only; 2: query only. A shard of over `most` vectors is dealt by hash
-    into parts, and its queries go to each of them.
+    The nodes at home in a shard are nearer to its centroid than to any other, so they lie beyond the plane that is
+    equally far from that centroid and the query's own. A query whose angle to the plane is over that of the threshold
+    has no link there; all other shards are searched.
+    """
+    sim = x @ c.T
+    order = np.argsort(-sim, axis=1, kind="stable")[:, :overlap]
+    at, home = np.arange(len(x))[:, None], order[:, 0]
+    size = (c * c).sum(1)
+    apart = np.sqrt(np.maximum(size[home][:, None] + size - 2 * (c[home] @ c.T), 0))
+    reach = np.sqrt(max(0.0, 1 - threshold * threshold))
+    role = np.where((threshold <= 0) | (sim[at, home[:, None]] - sim <= reach * apart + 1e-7), QUERY, 0)
+    role[at, order] |= NODE
+    role[at[:, 0], home] |= HOME | QUERY
+    return role
+
+
+def shard(groups: DataFrame, shard_rows: int, overlap: int, most: int, threshold: float) -> DataFrame:
+    """shard, part, block, node, n, role, vec: each vector in the shards of its `overlap` nearest centroids of its length, and as a query in all that may hold links of it.
+
+    A shard of over `most` nodes or queries is dealt by hash into parts of nodes and blocks of queries; each part meets
+    each block.
     """
     spark = groups.sparkSession
     sizes = {r["d"]: r["count"] for r in groups.groupBy(F.size("vec").alias("d")).count().collect()}
@@ -234,20 +284,31 @@ def shard(groups: DataFrame, shard_rows: int, overlap: int, most: int) -> DataFr
         for batch in batches:
             lengths = np.array([len(v) for v in batch.column(2)])
             for d in np.unique(lengths):
-                part = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                at = np.flatnonzero(lengths == d)
                 c = known.value.get(int(d))
-                x = unit_rows(part.column(2))
-                sim = x @ c.T if c is not None else np.ones((len(x), 1))
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :overlap]
-                for k in range(order.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(order[:, k] + int(d) * MOST_CENTROIDS, pa.int64()), part.column(0), part.column(1), pa.array(np.full(len(x), int(k == 0)), pa.int64()), part.column(2)], ["shard", "node", "n", "role", "vec"])
-
-    dealt = groups.select("node", "n", "vec").mapInArrow(assign, f"shard long, node long, n long, role long, vec {_VECTOR}")
-    large = dealt.groupBy("shard").count().where(F.col("count") > most).select("shard", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    split = dealt.join(F.broadcast(large), "shard", "left").withColumn("home", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int"))
-    all_parts = F.when(F.col("parts").isNotNull() & (F.col("role") == 1), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
-    split = split.withColumn("part", F.explode(all_parts))
-    return split.select("shard", "part", "node", "n", F.when(F.col("part") == F.col("home"), F.col("role")).otherwise(2).alias("role"), "vec")
+                for i in range(0, len(at), _BLOCK):
+                    part = batch.take(pa.array(at[i : i + _BLOCK]))
+                    x = unit_rows(part.column(2))
+                    role = roles(x, c, overlap, threshold) if c is not None else np.full((len(x), 1), NODE | HOME | QUERY)
+                    row, to = np.nonzero(role)
+                    for j in range(0, len(row), 8 * _BLOCK):
+                        own, centre = row[j : j + 8 * _BLOCK], to[j : j + 8 * _BLOCK]
+                        took = part.take(pa.array(own))
+                        yield pa.RecordBatch.from_arrays([pa.array(centre + int(d) * MOST_CENTROIDS, pa.int64()), took.column(0), took.column(1), pa.array(role[own, centre].astype(np.int64)), took.column(2)], ["shard", "node", "n", "role", "vec"])
+
+    dealt = cut(groups.select("node", "n", "vec").mapInArrow(assign, f"shard long, node long, n long, role long, vec {_VECTOR}"))
+    is_node, is_query = F.col("role").bitwiseAND(NODE) > 0, F.col("role").bitwiseAND(QUERY) > 0
+    pieces = [F.ceil(F.count(F.when(c, 1)) / most).cast("int").alias(name) for c, name in ((is_node, "parts"), (is_query, "blocks"))]
+    large = dealt.groupBy("shard").agg(*pieces).where("parts > 1 or blocks > 1").select("shard", F.greatest("parts", F.lit(1)).alias("parts"), F.greatest("blocks", F.lit(1)).alias("blocks"))
+    split = dealt.join(F.broadcast(large), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    # a node is in its part for every block, a query in its block for every part
+    down = F.when(is_node, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("p").alias("part"), b.alias("block"))))
+    along = F.when(is_query, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("b").alias("block"))))
+    none = F.expr("cast(array() as array<struct<part:int,block:int>>)")
+    split = split.withColumn("cell", F.explode(F.array_union(F.coalesce(down, none), F.coalesce(along, none))))
+    bits = F.when(F.col("cell.part") == F.col("p"), NODE | HOME).otherwise(0) + F.when(F.col("cell.block") == F.col("b"), QUERY).otherwise(0)
+    return split.select("shard", "cell.part", "cell.block", "node", "n", F.col("role").bitwiseAND(bits).alias("role"), "vec")
 
 
 def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, most: int = SHARD_MOST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -255,9 +316,10 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shard_rows: int =
 
     Equal vectors are one node with a count of copies. Nodes go into overlapping shards of their nearest centroids
     (learned from SAMPLE_ROWS rows); each shard builds its robust-pruned graph, adjacency lists are united, and each node
-    is searched in its home shard: greedily from medoids, then by expanding through all nodes in range. Every link is
-    verified by its cosine in double precision. Shards return counts and a spanning forest, never pairs; components
-    follow from the forests. recall() audits the search, whose misses lower n_links.
+    is searched in its home shard: greedily from medoids, then by expanding through all nodes in range. In every other
+    shard that may hold a link of it (see roles()) it is a guest, multiplied with the nodes at home there; a link is
+    counted where its other node is at home, so once. Every link is verified by its cosine in double precision. Shards
+    return counts and a spanning forest, never pairs; components follow from the forests. recall() audits the search.
 
     One row for each input row. Null, zero, empty or non-finite vectors and those with null components, and rows
     without an id, have 0 links and are their own component, kept; repeated rows are other rows and link; vectors of
@@ -270,7 +332,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shard_rows: int =
     first = groups.groupBy("node0").agg(F.max("vec").alias("first"), F.count("*").alias("c")).where("c > 1")
     own = F.when(F.col("c").isNotNull() & (F.col("vec") != F.col("first")), -F.abs(F.xxhash64("vec"))).otherwise(F.col("node0"))
     groups = cut(groups.join(first, "node0", "left").select(own.alias("node"), "node0", "n", "vec"))
-    shards = cut(shard(groups, shard_rows, overlap, most))
+    shards = cut(shard(groups, shard_rows, overlap, most, threshold))
     graph = cut(build_graph(shards))
     found = cut(search_graph(shards, graph, threshold))
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
