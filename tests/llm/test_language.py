@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from weftgraph.llm import language
+from weftgraph.llm import language, queries
 
 D = "/root/testdata/sf0.01"
 
@@ -22,6 +22,16 @@ def test_pages(spark):
     assert sum(r.lang_id == r.said for r in got) >= 0.95 * len(got)
 
 
+def test_page_query(spark, tmp_path):
+    docs = [(i, f"the and of {i}", "en", "s") for i in range(30)] + [(100 + i, f"der und die {i}", "de", "s") for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(i, f"http://h{i}.x.com/", "<html><body>the and of") for i in range(20)] + [(100 + i, f"http://h{i}.y.de/", "<html><body>der und die") for i in range(20)]
+    unclear = [(500, "http://a.new.de/", "<html><body>qqq"), (501, "http://a.x.com/", "<html><body>qqq"), (502, "http://b.other.org/", "<html lang=de><body>qqq"), (503, "http://c.other.org/", "<html lang='en-US'><body>qqq"), (504, None, None)]
+    spark.createDataFrame(pages + unclear, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.lang_id for r in queries.QUERIES["op10_page_language"](spark, str(tmp_path)).collect()}
+    assert got == {**{i: "en" for i in range(20)}, **{100 + i: "de" for i in range(20)}, 500: "de", 501: "en", 502: "de", 503: "en", 504: None}
+
+
 def test_prior_decides_without_text_evidence(spark):
     docs = spark.createDataFrame([(i, "the and of", "en", "a.x.com") for i in range(30)] + [(100 + i, "der und die", "de", "b.y.de") for i in range(30)], "doc_id long, text string, lang string, source string")
     ask = docs.unionByName(spark.createDataFrame([(500, "qqq", None, "a.x.com"), (501, "qqq", None, "new.y.de")], docs.schema))

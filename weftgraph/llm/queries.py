@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import bagminhash, chat, mixing, secrets
 from weftgraph.llm.common import table
-from weftgraph.llm.language import identify
+from weftgraph.llm.language import identify, identify_pages
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.token_counts import count_tokens
 from weftgraph.llm.token_files import drop_token_files, new_folder, read_token_files, write_token_files
@@ -64,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, declared_col="lang").select("doc_id", "lang_id", "lang_p", "lang_accepted")
 
 
+def op10_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op10_page_language": op10_page_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
