@@ -39,6 +39,16 @@ def test_prior_decides_without_text_evidence(spark):
     assert got == {500: "en", 501: "de"}
 
 
+def test_rare_language_of_a_large_table(spark):
+    words = {"en": "the and of which", "de": "der und die nicht"}
+    docs = [(i, words[k], k, "s") for i, k in enumerate(["en", "de"] * 6000)]
+    rare = [(20_000, "kaj estas la domo", "eo", "s"), (20_001, "quod erat sumus", "la", "s"), (20_002, "kyllä hyvää päivää", "fi", "s"), (20_003, "nem vagyok itthon", "hu", "s")]
+    df = spark.createDataFrame(docs + rare, "doc_id long, text string, lang string, source string")
+    assert language.identify(df, declared_col="lang").where("doc_id >= 20000 and lang_id = lang").count() == 4
+    many = spark.createDataFrame([(i, f"{chr(97 + i // 10) * 3} {chr(97 + i % 10) * 5}", f"l{i}", "s") for i in range(80)], df.schema)
+    assert language.identify(many, declared_col="lang").where("lang_id = lang").count() == 80
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, 1), (None, "", "en", "s", 1), (2, "the and " * 40_000, "en", None, 1), (2, "the and", "en", "s", 1), (2, "the and", "en", "s", 1), (3, "123 !!", "de", "s", 1)], "doc_id long, text string, lang string, source string, lang_p int")
     got = sorted(((r.doc_id, r.lang_id, r.lang_accepted) for r in language.identify(docs, declared_col="lang").collect()), key=str)

@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of evidence (operator 10).
 
 log p(language | row) = text likelihood + declared language + address suffix + host prior, up to a constant. The text
-likelihood is naive Bayes over hashed runs of letters, learned from a bounded sample of rows with a language; the
+likelihood is naive Bayes over hashed runs of letters, learned from a sample of the rows of each language; the
 declared language counts with its measured reliability; a suffix counts as the languages met under it; a host's prior
 is its own counts smoothed towards its domain's, and those towards all rows', from one grouped aggregation.
 """
@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import bytes_of, chunks, cut, small_batches, small_enough, tidy
 from weftgraph.llm.quality import row_sums
 
-#: Rows with a language that training sees at most: those whose hashed id is least.
-TRAIN_ROWS = 4000
+#: Rows with a language that training sees, about: an equal share for each language, but at least LEAST_SHARE or all its rows.
+TRAIN_ROWS, LEAST_SHARE = 4000, 50
 #: Hashed runs of three letters.
 BUCKETS = 1 << 16
-#: Languages told apart at most, the most frequent of the training rows.
-LANGUAGES = 64
 #: A text's likelihood counts as if it had at most so many independent runs.
 INDEPENDENT = 100.0
 #: Trust in a declared language: the share of rows whose declaration is right.
@@ -74,13 +72,17 @@ class Model:
 
 
 def train(df: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
-    """Naive Bayes from at most `rows` rows with a language; runs are counted on the executors, by language. None without any."""
-    marked = df.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("string").alias("k")).where("l is not null and text is not null")
-    picked = marked.select("l", "h", "k").orderBy("h", "k", "l").limit(rows)
-    last = picked.agg(F.max("h")).first()[0]
-    if last is None:
+    """Naive Bayes over all languages of df, from about `rows` rows; runs are counted on the executors, by language. None without any.
+
+    A language's training rows are those whose hash is under the cutoff that its count over all rows asks for.
+    """
+    marked = df.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("k")).where("l is not null and text is not null").withColumn("h", F.xxhash64("k", "text"))
+    met = marked.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "l").collect()
+    if not met:
         return None
-    names = [r["l"] for r in picked.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    names, share = [r["l"] for r in met], max(rows // len(met), LEAST_SHARE)
+    cutoffs = {r["l"]: (1 << 63) - 1 if r["n"] <= share else max(r["least"], (share << 64) // r["n"] - (1 << 63)) for r in met}
+    cutoff = df.sparkSession.createDataFrame(list(cutoffs.items()), "l string, cutoff long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -90,14 +92,14 @@ def train(df: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -
             for first, _, part, ends in chunks(data, at):
                 bucket, to = runs_of(part, ends)
                 for i in range(len(ends) - 1):
-                    if own[first + i] in names:
-                        c = counts.setdefault(own[first + i], np.zeros(BUCKETS))
-                        c += np.bincount(bucket[to[i] : to[i + 1]], minlength=BUCKETS) / max(1, to[i + 1] - to[i]) * min(to[i + 1] - to[i], 1000)
+                    c = counts.setdefault(own[first + i], np.zeros(BUCKETS))
+                    c += np.bincount(bucket[to[i] : to[i + 1]], minlength=BUCKETS) / max(1, to[i + 1] - to[i]) * min(to[i + 1] - to[i], 1000)
         for k, c in counts.items():
             yield pa.RecordBatch.from_pydict({"l": [k], "c": [c.astype(np.float32).tobytes()]})
 
     total = {k: np.zeros(BUCKETS) for k in names}
-    for row in marked.where(F.col("h") <= last).select("l", "text").repartition(8).mapInArrow(run, "l string, c binary").toLocalIterator():
+    picked = marked.join(F.broadcast(cutoff), "l").where("h <= cutoff")
+    for row in picked.select("l", "text").repartition(8).mapInArrow(run, "l string, c binary").toLocalIterator():
         total[row["l"]] += np.frombuffer(row["c"], np.float32)
     share = np.stack([total[k] + 0.05 for k in names], 1)
     return Model(names, np.log(share / share.sum(0)).astype(np.float64))
