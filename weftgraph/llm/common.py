@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import tempfile
@@ -27,6 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one when Python ends, as results are read from it until then."""
+
+    def run() -> None:
+        if getattr(spark.sparkContext, "_jsc", None) is not None:
+            try:
+                drop(spark, path)
+            except Exception:  # the session ended meanwhile; the folder is then left to whoever clears the shared one
+                return
+
+    atexit.register(run)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, small_batches, tidy, tokenizer_path
-
-#: Distinct words of the corpus-wide table at most; it is broadcast, so this bounds what is sent.
-TABLE_WORDS = 1 << 17
-#: Occurrences a word needs to be in that table.
-LEAST_COUNT = 8
-#: Distinct words beyond that table that a worker keeps before it starts afresh.
-KEPT_WORDS = 100_000
+from weftgraph.llm.common import drop_at_exit, shared_dir, tidy, tokenizer_path
+
+#: Distinct words, and their bytes, after which a task begins another chunk of documents.
+CHUNK_WORDS, CHUNK_BYTES = 200_000, 1 << 24
+#: Documents whose words are handled at once in a worker.
+SLICE_ROWS = 500
+#: Buckets of the distinct-word table for each shuffle partition, and buckets at most.
+BUCKETS_EACH, MOST_BUCKETS = 4, 4096
+#: Kinds of rows of the coded documents: words, whole texts that only the library can split, documents.
+WORD, WHOLE, DOCUMENT = 0, 1, 2
+_CODED = "chunk long, kind int, seq int, ks array<long>, lens array<int>, data binary"
 # The byte-level pre-tokenizer's pattern, white space as Unicode has it.
 WORD_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 
@@ -43,19 +50,14 @@ def byte_symbols() -> dict[int, str]:
 _SYMBOLS = byte_symbols()
 
 
-@lru_cache(maxsize=2)
-def pieces(path: str) -> pa.Array:
-    """The bytes of each id's piece, by id."""
+def pieces(path: str) -> dict[int, bytes]:
+    """The bytes of each id's piece."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     byte_of = {c: b for b, c in _SYMBOLS.items()}
     added = {x["id"]: x["content"] for x in spec["added_tokens"]}
     by_id = {i: p for p, i in spec["model"]["vocab"].items()} | added
-    found = []
-    for i in range(max(by_id) + 1):
-        p = by_id.get(i, "")
-        found.append(bytes(byte_of[c] for c in p) if all(c in byte_of for c in p) else p.encode())
-    return pa.array(found, pa.large_binary())
+    return {i: bytes(byte_of[c] for c in p) if all(c in byte_of for c in p) else p.encode() for i, p in by_id.items()}
 
 
 def odd_pattern(path: str) -> str:
@@ -72,100 +74,209 @@ def split_words(df: DataFrame, path: str) -> DataFrame:
     return df.select("k", F.when(~odd, F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))).alias("words"), F.when(odd, text).alias("odd"))
 
 
+def packed(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays of 32-bit integers, laid out by byte planes, and bytes, as one compressed block."""
+    flat = [p if isinstance(p, bytes) else np.ascontiguousarray(p.astype("<u4").view("u1").reshape(-1, 4).T).tobytes() for p in parts]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in flat], "<u8").tobytes() + b"".join(flat))
+
+
+def unpacked(block: bytes, kinds: str) -> list:
+    """The parts of packed(): i for integers, b for bytes."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    at, out = 8 * len(kinds), []
+    for kind, size in zip(kinds, np.frombuffer(raw, "<u8", len(kinds)).tolist(), strict=True):
+        part = raw[at : at + size]
+        out.append(part if kind == "b" else np.ascontiguousarray(np.frombuffer(part, "u1").reshape(4, -1).T).view("<u4").ravel())
+        at += size
+    return out
+
+
+class Codes(dict):
+    """Codes of a chunk's distinct words by first appearance; whole texts are keyed by (text,)."""
+
+    def __init__(self):
+        super().__init__()
+        self.bytes = 0
+
+    def __missing__(self, word) -> int:
+        self.bytes += len(word[0] if isinstance(word, tuple) else word)
+        self[word] = code = len(self)
+        return code
+
+    def rows(self, chunk: int, buckets: int) -> Iterator[tuple]:
+        """Rows of the words by bucket: (chunk, kind, bucket, -, -, block of codes, lengths and bytes)."""
+        for kind in (WORD, WHOLE):
+            words = [((w[0] if kind else w).encode(), c) for w, c in self.items() if isinstance(w, tuple) == (kind == WHOLE)]
+            by_bucket: dict[int, list[tuple[bytes, int]]] = {}
+            for w, c in sorted(words):
+                by_bucket.setdefault(zlib.crc32(w) % buckets, []).append((w, c))
+            for bucket, own in sorted(by_bucket.items()):
+                yield chunk, kind, bucket, None, None, packed(np.array([c for _, c in own]), np.array([len(w) for w, _ in own]), b"".join(w for w, _ in own))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["chunk", "kind", "seq", "ks", "lens", "data"])
+
+
+def coded(split: DataFrame, buckets: int) -> DataFrame:
+    """Documents as codes of their words, and the words that the codes stand for, by chunk; see _CODED.
+
+    A chunk is a run of a partition's documents with at most about CHUNK_WORDS distinct words or CHUNK_BYTES of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, codes, seq = TaskContext.get().partitionId() << 20, Codes(), 0
+        for whole in batches:
+            for i in range(0, len(whole), SLICE_ROWS):
+                batch = whole.slice(i, SLICE_ROWS)
+                words = batch.column(1).fill_null([])
+                at = words.offsets.to_numpy().astype(np.int64)
+                code = words.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+                own = np.array([codes[w] for w in code.dictionary.to_pylist()], np.uint32)[code.indices.to_numpy()]
+                lens = np.diff(at)
+                for row in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)):
+                    own = np.insert(own, lens[:row].sum(), codes[(batch.column(2)[int(row)].as_py(),)])
+                    lens[row] = 1
+                yield _batch([(chunk, DOCUMENT, seq, batch.column(0).to_pylist(), lens, packed(own))])
+                seq += 1
+                if len(codes) >= CHUNK_WORDS or codes.bytes >= CHUNK_BYTES:
+                    yield _batch(list(codes.rows(chunk, buckets)))
+                    chunk, codes, seq = chunk + 1, Codes(), 0
+        if codes:
+            yield _batch(list(codes.rows(chunk, buckets)))
+
+    return split.mapInArrow(tidy(run), _CODED)
+
+
 def encode_words(words: list[str], model) -> list[bytes]:
     """Ids of each word by the library's byte-pair model, as 32-bit integers."""
     return [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_SYMBOLS))], "<i4").tobytes() for w in words]
 
 
-def word_table(split: DataFrame, path: str, name: str, most: int = TABLE_WORDS, least: int = LEAST_COUNT) -> dict[str, bytes]:
-    """Ids of the corpus's most frequent words, each encoded once. At most `most` words: those over the least count that leaves no more."""
-    counted = cut(split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-    steps = counted.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words")).collect()
-    above, total = 1_000_001, 0
-    for step in sorted(steps, key=lambda r: -r["n"]):
-        if total + step["words"] > most:
-            break
-        above, total = step["n"], total + step["words"]
+def word_ids(words: DataFrame, name: str) -> DataFrame:
+    """The ids of each chunk's words, by code: the distinct-word table, a bucket of it at a time.
+
+    All chunks' rows of a bucket meet in one task, one after the other, so each distinct word is encoded once for the
+    whole corpus; a bucket's words and ids are held until the next one begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(tokenizer_path(name)).model
+        made, table, at = tokenizer(tokenizer_path(name)), {}, None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode_words(batch.column(0).to_pylist(), model), pa.binary())], ["word", "ids"])
-
-    return {r["word"]: r["ids"] for r in counted.where(F.col("n") >= above).select("word").mapInArrow(run, "word string, ids binary").toArrow().to_pylist()}
-
+            for chunk, kind, bucket, block in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 5)), strict=True):
+                if at != (kind, bucket):
+                    at, table = (kind, bucket), {}
+                codes, lens, text = unpacked(block, "iib")
+                ends = np.cumsum(lens).tolist()
+                found = []
+                for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                    word = text[lo:hi]
+                    ids = table.get(word)
+                    if ids is None:
+                        ids = encode_words([word.decode()], made.model)[0] if kind == WORD else np.array(made.encode(word.decode(), add_special_tokens=False).ids, "<i4").tobytes()
+                        table[word] = ids
+                    found.append(ids)
+                yield _batch([(chunk, WORD, bucket, None, None, packed(codes, np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), "<i4")))])
+
+    return words.repartition("kind", "seq").sortWithinPartitions("kind", "seq", "chunk").mapInArrow(tidy(run), _CODED)
+
+
+def positioned(rows: DataFrame) -> DataFrame:
+    """doc_id, ids: each chunk's documents, their codes replaced by the ids of the words they stand for."""
 
-def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blocks, lists = None, [], None
+        for batch in batches:
+            for k in range(len(batch)):
+                chunk, kind, block = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(5)[k].as_py()
+                if chunk != at:
+                    at, blocks, lists = chunk, [], None
+                if kind == WORD:
+                    blocks.append(unpacked(block, "iii"))
+                    continue
+                if lists is None and blocks:
+                    codes, lens, ids = (np.concatenate([b[c] for b in blocks]) for c in range(3))
+                    order = np.argsort(codes)
+                    ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+                    lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4"))).take(pa.array(order))
+                    blocks = []
+                words = batch.column(4)[k].values.to_numpy().astype(np.int64)
+                own = unpacked(block, "i")[0]
+                ends = np.concatenate([[0], np.cumsum(words)])
+                if len(own):
+                    found = lists.take(pa.array(own))
+                    ends, values = found.offsets.to_numpy()[ends], found.values
+                else:
+                    values = pa.array([], pa.int32())
+                out = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), values.slice(ends[0]))
+                yield pa.RecordBatch.from_arrays([batch.column(3)[k].values, out], ["doc_id", "ids"])
+
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "seq").mapInArrow(tidy(run), "doc_id long, ids array<int>")
+
+
+def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of each row's whole text, as the tokenizers library encodes it without added special tokens.
 
-    decoded: text too, looked up from the ids as decode() does, in the same pass over Arrow batches.
+    Spark splits the texts into words. Each task writes its documents as codes and, once for each chunk of documents, the
+    distinct words that the codes stand for, to the shared folder (dropped at exit). The words meet by bucket of their
+    hash, where each distinct word is encoded once for the whole corpus; its ids go back to the chunks, where codes are
+    replaced by position. So words move once for each chunk that has them, and texts never move. Texts with special
+    strings or characters that the JVM's Unicode tables don't know are taken as one word each, which the library encodes.
 
-    Spark splits the texts into words and counts the distinct ones. The frequent ones, TABLE_WORDS at most, are encoded
-    once for the whole corpus and joined back by position from a broadcast table of that bound; a task encodes each
-    other distinct word of an Arrow batch once and keeps KEPT_WORDS of them at most. Texts with special strings or
-    characters that the JVM's Unicode tables don't know go to the library whole.
-
-    One row for each input row: null ids stay null, null and empty texts have no ids, repeated rows stay, an empty table
-    gives none, other columns are left out.
+    One row for each input row: null ids stay null, null and empty texts have no ids, repeated rows stay, very long texts
+    stay whole, an empty table gives none, other columns, whatever their names, are left out.
     """
-    small_batches(df.sparkSession, 500)
-    path = tokenizer_path(name)
+    spark, path = df.sparkSession, tokenizer_path(name)
     split = split_words(df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")), path)
-    known = df.sparkSession.sparkContext.broadcast(word_table(split, path, name))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, table, kept = tokenizer(tokenizer_path(name)), known.value, {}
-        model = made.model
-        for batch in batches:
-            words = batch.column(1)
-            if words.null_count:
-                words = words.fill_null([])
-            at = words.offsets.to_numpy().astype(np.int64)
-            code = words.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-            distinct = code.dictionary.to_pylist()
-            new = [w for w in distinct if w not in table and w not in kept]
-            if len(kept) + len(new) > KEPT_WORDS:
-                kept.clear()
-                new = [w for w in distinct if w not in table]
-            fresh = dict(zip(new, encode_words(new, model), strict=True))
-            own = [table.get(w) or kept.get(w) or fresh[w] for w in distinct]  # a word has an id at least
-            kept |= fresh if len(fresh) <= KEPT_WORDS else {}
-            lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(b) // 4 for b in own])]), pa.int64()), pa.array(np.frombuffer(b"".join(own), "<i4"), pa.int32()))
-            ids = lists.take(code.indices)
-            starts = ids.offsets.to_numpy()[at - at[0]] if len(code) else np.zeros(len(batch) + 1, np.int64)
-            out = pa.LargeListArray.from_arrays(pa.array(starts - starts[0], pa.int64()), ids.values.slice(starts[0])) if len(code) else pa.array([[]] * len(batch), pa.large_list(pa.int32()))
-            odd = batch.column(2)
-            if odd.null_count < len(odd):
-                rows = out.to_pylist()
-                for i, text in enumerate(odd.to_pylist()):
-                    if text is not None:
-                        rows[i] = made.encode(text, add_special_tokens=False).ids
-                out = pa.array(rows, pa.large_list(pa.int32()))
-            out = out.cast(pa.list_(pa.int32()))
-            text = [pa.array(texts_of(out, pieces(tokenizer_path(name))), pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), out, *text], ["doc_id", "ids", "text"][: 2 + decoded])
-
-    return split.mapInArrow(tidy(run), "doc_id long, ids array<int>" + ", text string" * decoded)
-
-
-def texts_of(ids: pa.Array, table: pa.Array) -> list[str]:
-    """The text of each list of ids: the pieces' bytes end to end, what isn't UTF-8 replaced."""
-    if ids.null_count:
-        ids = ids.fill_null([])
-    at = ids.offsets.to_numpy().astype(np.int64)
-    found = table.take(ids.values.slice(at[0], at[-1] - at[0]))
-    if not len(found):
-        return [""] * len(ids)
-    ends, data = np.frombuffer(found.buffers()[1], np.int64)[at - at[0]], memoryview(found.buffers()[2])
-    return [str(data[a:b], "utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    folder = f"{shared_dir(spark).rstrip('/')}/coded-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    buckets = min(BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    coded(split, buckets).write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.schema(_CODED).parquet(folder)
+    return positioned(rows.where(F.col("kind") == DOCUMENT).unionByName(word_ids(rows.where(F.col("kind") < DOCUMENT), name)))
 
 
 def decode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, ids and text: every id is looked up in the table of pieces by position. Null ids decode to an empty text; other columns are left out."""
+    """doc_id, ids and text: every id is joined with the table of pieces, whose bytes are put end to end; what isn't UTF-8 is replaced.
+
+    The table has a row for each id of the vocabulary, which bounds its broadcast. The join keeps the order of a
+    partition's rows, so a document's pieces stay in line and nothing is shuffled.
+
+    One row for each input row. Null ids inside a list and ids outside the vocabulary have no piece; a null or empty list
+    decodes to an empty text; null doc_ids and repeated rows stay; an empty table gives none; other columns are left out.
+    """
+    by_id = pieces(tokenizer_path(name))
+    table = df.sparkSession.createDataFrame(pa.table({"id": pa.array(list(by_id), pa.int32()), "piece": pa.array(list(by_id.values()), pa.binary())}))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    tokens = rows.select("doc_id", "ids", F.posexplode_outer("ids").alias("pos", "id"))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    tokens = tokens.select(first.alias("first"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("ids")).alias("ids"), "id")
+    joined = tokens.join(F.broadcast(table), "id", "left").select("first", "doc_id", "ids", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(tokenizer_path(name))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts_of(batch.column(1), table), pa.string())], ["doc_id", "ids", "text"])
+        held, head = [], None
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+        def made(heads: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
+            both = pa.Table.from_batches(heads).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in both.columns), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["doc_id", "ids", "text"])
+
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
+            piece = batch.column(3).fill_null(b"").cast(pa.large_binary())
+            ends = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1]
+            data = memoryview(piece.buffers()[2] or b"")
+            if not len(starts):
+                held.append(bytes(data[ends[0] : ends[-1]]))
+                continue
+            heads = batch.select([1, 2]).take(pa.array(starts))
+            cuts = ends[np.append(starts, len(piece))].tolist()
+            texts = [bytes(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            held.append(bytes(data[ends[0] : cuts[0]]))
+            if len(starts) > 1 or head is not None:
+                yield made(([head] if head is not None else []) + [heads.slice(0, len(starts) - 1)], ([b"".join(held)] if head is not None else []) + texts[:-1])
+            head, held = heads.slice(len(starts) - 1), [texts[-1]]
+        if head is not None:
+            yield made([head], [b"".join(held)])
+
+    return joined.mapInArrow(tidy(run), "doc_id long, ids array<int>, text string")
