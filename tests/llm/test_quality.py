@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftgraph.llm.common import bytes_of
-from weftgraph.llm.quality import base_rules, quality_rules
+from weftgraph.llm.quality import base_rules, features, quality_rules
 
 pa = pytest.importorskip("pyarrow")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +43,28 @@ def test_documents_and_held_out_labels(spark):
     assert np.mean([(p[r.doc_id] >= 0.3) == (r.quality == 1) for r in rest]) >= 0.9
 
 
+def test_probabilities_are_calibrated(spark):
+    """On labels that training has not seen, the share of good documents is near the probabilities' mean, in all and on either side of one half."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    held = labels.where("doc_id % 3 = 0")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    p = {r.doc_id: r.probability for r in quality_rules(docs, labels.where("doc_id % 3 <> 0")).collect()}
+    both = np.array([(p[r.doc_id], r.quality) for r in held.collect()])
+    assert len(both) > 1000
+    for part in (both, both[both[:, 0] < 0.5], both[both[:, 0] >= 0.5]):
+        assert abs(part[:, 0].mean() - part[:, 1].mean()) < 0.05
+
+
+def test_character_runs(spark):
+    """Runs are of three characters, whatever their bytes, and don't cross rows."""
+    texts = ["añb", "日本語x", "", "ab", "é🙂z!"]
+    both = [features(*bytes_of(pa.array([t], pa.string())))[1] for t in texts]
+    assert [len(b) for b, _ in both] == [max(0, len(t) - 2) for t in texts]
+    bucket, ends = features(*bytes_of(pa.array(texts, pa.string())))[1]
+    assert [bucket[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [b.tolist() for b, _ in both]
+
+
 def test_edges(spark):
     word = random.Random(1)
     long = " ".join(str(word.random()) for _ in range(100_000))

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,14 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_at_exit(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared one when Python ends, as results are read from it until then."""
+def drop_at_exit(spark: SparkSession, path: str, name: str | None = None) -> None:
+    """Delete a folder of the shared one, and the table `name` that lies there, when Python ends: results are read from it until then."""
 
     def run() -> None:
         if getattr(spark.sparkContext, "_jsc", None) is not None:
             try:
+                if name:
+                    spark.sql(f"DROP TABLE IF EXISTS {name}")
                 drop(spark, path)
             except Exception:  # the session ended meanwhile; the folder is then left to whoever clears the shared one
                 return
@@ -179,11 +182,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the session's Arrow batches, and so what a Python worker holds at once, to so many rows; a lower setting stays."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the Arrow batches of what runs inside, and so what a Python worker holds at once, to so many rows; the caller's setting is put back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"__{name}").lower() in taken:
+        pass
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

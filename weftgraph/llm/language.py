@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bytes_of, chunks, cut, small_batches, small_enough, tidy
+from weftgraph.llm.common import arrow_rows, bytes_of, chunks, cut, fresh_name, small_enough, tidy
 from weftgraph.llm.quality import row_sums
 
 #: Rows with a language that training sees, about: an equal share for each language, but at least LEAST_SHARE or all its rows.
@@ -98,7 +98,8 @@ def train(df: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -
             yield pa.RecordBatch.from_pydict({"l": [k], "c": [c.astype(np.float32).tobytes()]})
 
     total = {k: np.zeros(BUCKETS) for k in names}
-    picked = marked.join(F.broadcast(cutoff), "l").where("h <= cutoff")
+    # rows that repeat a text and its id count once, so they can't be more than the sample's share
+    picked = marked.join(F.broadcast(cutoff), "l").where("h <= cutoff").groupBy("l", "h").agg(F.min("text").alias("text"))
     for row in picked.select("l", "text").repartition(8).mapInArrow(run, "l string, c binary").toLocalIterator():
         total[row["l"]] += np.frombuffer(row["c"], np.float32)
     share = np.stack([total[k] + 0.05 for k in names], 1)
@@ -138,6 +139,10 @@ def text_of(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&#?\w+;", " ")
 
 
+def at_host(host: Column, salt: Column) -> Column:
+    return F.struct(host.alias("host"), salt.cast("long").alias("salt"))
+
+
 def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS, least: float = LEAST_POSTERIOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source", declared_col: str | None = None, suffix_col: str | None = None) -> DataFrame:
     """df and lang_id (language, null if unknown), lang_p (its posterior), lang_accepted; those names replace columns of df.
 
@@ -151,8 +156,9 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int =
     table, or no labelled row, gives null languages, none accepted.
     """
     own = [c for c in df.columns if c not in ("lang_id", "lang_p", "lang_accepted")]
-    small_batches(df.sparkSession)
-    model = train(df if labelled is None else labelled, train_rows, id_col, text_col, lang_col)
+    e, host_key, prior, overall_prior, suffix_key, ratio_of, log, most = (fresh_name(df, x) for x in ("e", "host", "prior", "overall", "suffix", "ratio", "log", "max"))
+    with arrow_rows(df.sparkSession, 2000):
+        model = train(df if labelled is None else labelled, train_rows, id_col, text_col, lang_col)
     if model is None:
         return df.select(*own, F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("lang_p"), F.lit(False).alias("lang_accepted"))
     names, k = model.languages, len(model.languages)
@@ -162,7 +168,8 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int =
     seen = df.select(host.alias("host"), suffix.alias("suffix"), evidence.alias("e")).where(f"e.runs >= {LEAST_RUNS}")
     best = F.array_position(F.col("e.ll"), F.array_max("e.ll")).cast("int")
     counts = seen.select("host", "suffix", best.alias("b")).groupBy("host", "suffix").agg(*(F.sum((F.col("b") == i + 1).cast("long")).alias(f"c{i}") for i in range(k)))
-    counts = cut(counts.select("host", "suffix", F.array(*(F.col(f"c{i}").cast("double") for i in range(k))).alias("c")))
+    with arrow_rows(df.sparkSession, 2000):
+        counts = cut(counts.select("host", "suffix", F.array(*(F.col(f"c{i}").cast("double") for i in range(k))).alias("c")))
 
     def summed(by: list[str], frame: DataFrame) -> DataFrame:
         return frame.groupBy(*by).agg(F.array(*(F.sum(F.col("c")[i]) for i in range(k))).alias("c"))
@@ -175,26 +182,28 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int =
     domain = F.coalesce(F.nullif(F.regexp_extract("host", r"\.(.+)$", 1), F.lit("")), F.lit("."))
     hosts = summed(["host"], counts.where("host is not null")).withColumn("domain", domain)
     domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(k))).alias("d"))
-    priors = hosts.join(domains, "domain").join(F.broadcast(overall)).select(F.col("host").alias("__host"), smoothed(F.col("c"), smoothed(F.col("d"), F.col("g"))).alias("__prior"))
+    priors = hosts.join(domains, "domain").join(F.broadcast(overall)).select(at_host(F.col("host"), F.lit(0)).alias(host_key), smoothed(F.col("c"), smoothed(F.col("d"), F.col("g"))).alias(prior))
     if small_enough(hosts, BROADCAST_HOSTS):
         priors = F.broadcast(priors)
-    rows = df.select(*own).withColumn("__e", evidence).join(priors, host == F.col("__host"), "left").join(F.broadcast(overall.select(F.col("g").alias("__g"))))
-    log_p = F.zip_with(F.col("__e.ll"), F.coalesce("__prior", "__g"), lambda a, p: a + F.ln(p))
+    # rows without a host match none, and are dealt by their text where the join is a shuffle
+    wanted = at_host(host, F.when(host.isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(0))
+    rows = df.select(*own).withColumn(e, evidence).join(priors, wanted == F.col(host_key), "left").join(F.broadcast(overall.select(F.col("g").alias(overall_prior))))
+    log_p = F.zip_with(F.col(f"{e}.ll"), F.coalesce(prior, overall_prior), lambda a, p: a + F.ln(p))
     if suffix_col:
-        suffixes = summed(["suffix"], counts.where("suffix is not null")).join(F.broadcast(overall)).select(F.col("suffix").alias("__suffix"), F.zip_with(smoothed(F.col("c"), F.col("g")), "g", lambda s, g: F.ln(s / g)).alias("__ratio"))
-        rows = rows.join(F.broadcast(suffixes) if small_enough(suffixes, BROADCAST_HOSTS) else suffixes, suffix == F.col("__suffix"), "left")
-        log_p = F.zip_with(log_p, F.coalesce("__ratio", F.array(*[F.lit(0.0)] * k)), lambda a, r: a + r)
+        suffixes = summed(["suffix"], counts.where("suffix is not null")).join(F.broadcast(overall)).select(F.col("suffix").alias(suffix_key), F.zip_with(smoothed(F.col("c"), F.col("g")), "g", lambda s, g: F.ln(s / g)).alias(ratio_of))
+        rows = rows.join(F.broadcast(suffixes) if small_enough(suffixes, BROADCAST_HOSTS) else suffixes, suffix == F.col(suffix_key), "left")
+        log_p = F.zip_with(log_p, F.coalesce(ratio_of, F.array(*[F.lit(0.0)] * k)), lambda a, r: a + r)
     if declared_col:
         known = F.array(*map(F.lit, names))
         said = F.lower(F.substring_index(F.col(declared_col).cast("string"), "-", 1))
         ratio = F.transform(known, lambda x: F.when(~F.array_contains(known, said) | said.isNull(), 0.0).when(x == said, float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / max(1, k - 1)))))
         log_p = F.zip_with(log_p, ratio, lambda a, r: a + r)
-    rows = rows.withColumn("__log", log_p).withColumn("__max", F.array_max("__log"))
+    rows = rows.withColumn(log, log_p).withColumn(most, F.array_max(log))
     known = F.array(*map(F.lit, names))
-    total = F.aggregate("__log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__max")))
-    lettered = F.col("__e.runs") >= LEAST_RUNS
-    rows = rows.withColumn("lang_id", F.when(lettered, F.element_at(known, F.array_position("__log", F.col("__max")).cast("int")))).withColumn("lang_p", F.when(lettered, 1 / total))
-    return rows.withColumn("lang_accepted", F.coalesce(F.col("lang_p") >= least, F.lit(False))).select(*own, "lang_id", "lang_p", "lang_accepted")
+    total = F.aggregate(log, F.lit(0.0), lambda a, x: a + F.exp(x - F.col(most)))
+    lettered = F.col(f"{e}.runs") >= LEAST_RUNS
+    found = F.when(lettered, F.element_at(known, F.array_position(log, F.col(most)).cast("int"))), F.when(lettered, 1 / total)
+    return rows.select(*own, found[0].alias("lang_id"), found[1].alias("lang_p"), F.coalesce(found[1] >= least, F.lit(False)).alias("lang_accepted"))
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, **options) -> DataFrame:

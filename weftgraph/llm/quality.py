@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SPACES, bytes_of, chunks, mix, shingles_of, small_batches, words_of
+from weftgraph.llm.common import SPACES, bytes_of, chunks, mix, shingles_of, words_of
 
 #: Labelled rows that training sees at most: those whose hashed id is least.
 TRAIN_ROWS = 3000
@@ -72,8 +72,19 @@ def _shingle_rows(rows: np.ndarray, n_words: np.ndarray, size: int) -> np.ndarra
     return np.repeat(np.arange(len(n_words)), np.where(n_words >= size, n_words - size + 1, (n_words > 0).astype(np.int64)))
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, the bytes as one number) of each character of UTF-8."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    length = np.diff(starts, append=len(data))
+    value = data[starts].astype(np.uint32)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(length > k)
+        value[more] |= data[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return starts, value
+
+
 def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each feature, offsets by row): words with word pairs, then runs of three bytes."""
+    """(bucket of each feature, offsets by row): words with word pairs, then runs of three characters."""
     n = len(at) - 1
     rows, words, _ = words_of(data, at)
     pair = mix(words[:-1] * np.uint64(3) + words[1:])[rows[:-1] == rows[1:]] if len(rows) else words
@@ -82,9 +93,10 @@ def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     order = np.argsort(all_rows, kind="stable")
     bucket = (np.concatenate([words, pair]) & np.uint64(BUCKETS - 1)).astype(np.int64)[order]
     ends = np.concatenate([[0], np.cumsum(np.bincount(all_rows, minlength=n))])
-    if len(data) < 3:
+    starts, c = code_points(data)
+    if len(c) < 3:
         return [(bucket, ends), (np.zeros(0, np.int64), np.zeros(n + 1, np.int64))]
-    c = data.astype(np.uint32)
+    at = np.searchsorted(starts, at)  # from here on places of characters
     run = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
     run = (run ^ (run >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     run = ((run >> np.uint32(12)) & np.uint32(BUCKETS - 1)).astype(np.int64)
@@ -160,10 +172,14 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> list[tuple[int, bytes, bytes]]:
-    """At most `rows` labelled texts as features, in a fixed order; equal labels of a document count once, opposite ones cancel."""
+    """At most `rows` labelled texts as features, in a fixed order; equal labels of a document count once, opposite ones cancel.
+
+    Of rows that repeat an id one counts, that with the least text; a text has 2 * BUCKETS features at most.
+    """
     marked = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("double").alias("y")).dropna()
     marked = marked.groupBy("k").agg(F.avg("y").alias("y")).where("y <> 0.5").orderBy(F.xxhash64("k"), "k").limit(rows)
-    texts = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "k")
+    texts = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked.select("k")), "k", "left_semi")
+    texts = texts.groupBy("k").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(marked), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +208,9 @@ def quality_rules(df: DataFrame, labels: DataFrame, threshold: float = LEAST_PRO
     rules alone decide.
 
     One row for each input row: null ids stay null, null and empty texts have no words and fail, repeated rows stay,
-    an empty table gives none, other columns are left out. Labels that are null are left out.
+    very long texts are counted and scored whole, an empty table gives none, other columns are left out. Labels that are
+    null are left out.
     """
-    small_batches(df.sparkSession)
     model = train(training_rows(df, labels, train_rows, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,9 @@ from weftgraph.llm.common import tokenizer_path
 
 #: Texts over so many tokens are marked.
 LIMIT = 4096
-#: Distinct words whose counts a worker keeps; at that many it starts afresh, so its memory is bounded.
-KEPT_WORDS = 600_000
+#: Distinct words whose counts a worker keeps; at that many it starts afresh. Longer ones than KEPT_LENGTH characters are
+#: counted each time, so its memory is bounded.
+KEPT_WORDS, KEPT_LENGTH = 600_000, 64
 _SPACE = "▁"
 
 
@@ -32,9 +33,11 @@ class WordCounts(dict):
         self.ranks, self.single = ranks, single
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        n = self[word] = self.count(word)
+        n = self.count(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
     def count(self, word: str) -> int:
@@ -100,7 +103,8 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", limit: int =
 
     One row for each input row: a null id stays null, a null or empty text has 0 of both, repeated rows are counted each.
     An empty table gives none. Other columns are left out, so their names don't matter. No shuffle: a row's count needs
-    only its text. A worker keeps the counts of at most KEPT_WORDS distinct words.
+    only its text, however long it is. A worker keeps the counts of at most KEPT_WORDS distinct words of at most
+    KEPT_LENGTH characters; Spark bounds the bytes of an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

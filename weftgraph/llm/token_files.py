@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import shared_dir, small_batches, tokenizer_path
+from weftgraph.llm.common import arrow_rows, shared_dir, tokenizer_path
 from weftgraph.llm.word_table import _SYMBOLS, tokenizer
 
-#: Distinct words whose ids a worker keeps before it starts afresh.
-KEPT_WORDS = 200_000
-#: Rows in an Arrow batch that reading gives.
-READ_ROWS = 4096
+#: Distinct words whose ids a worker keeps before it starts afresh, and characters of a word that is kept, which together bound its memory.
+KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+#: Bytes of text of a part, about; there are at least as many parts as shuffle partitions.
+PART_BYTES = 256 << 20
+#: Documents, and bytes of ids, in an Arrow batch that reading gives; a longer document is read alone.
+READ_ROWS, READ_BYTES = 4096, 8 << 20
 
 
 def at_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,13 +39,22 @@ def at_path(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else "file://" + path)
 
 
-def mapped(path: str, dtype: str) -> np.ndarray:
-    """A file's integers: memory-mapped where it is local, else read."""
-    system, at = at_path(path)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(at, dtype, "r") if system.get_file_info(at).size else np.zeros(0, dtype)
-    with system.open_input_file(at) as f:
-        return np.frombuffer(f.readall(), dtype)
+class Mapped:
+    """A file's integers by range: memory-mapped where it is local, else read range by range."""
+
+    def __init__(self, path: str, dtype: str):
+        system, at = at_path(path)
+        self.dtype, self.file, self.flat = np.dtype(dtype), None, None
+        if isinstance(system, fs.LocalFileSystem):
+            self.flat = np.memmap(at, dtype, "r") if system.get_file_info(at).size else np.zeros(0, dtype)
+        else:
+            self.file = system.open_input_file(at)
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.flat is not None:
+            return self.flat[span]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(max(0, span.stop - span.start) * width, span.start * width), self.dtype)
 
 
 class WordIds(dict):
@@ -57,7 +68,9 @@ class WordIds(dict):
         if len(self) >= KEPT_WORDS:
             self.clear()
         symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_SYMBOLS)
-        ids = self[word] = array(self.kind, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        ids = array(self.kind, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        if len(word) <= KEPT_LENGTH:
+            self[word] = ids
         return ids
 
 
@@ -102,14 +115,15 @@ def write_token_files(df: DataFrame, path: str, name: str = "word_bpe_49k.json",
 
     Rows are dealt out by ranges of (id, hash of the text), so that repeated ids are split too, and sorted in each part.
     A part is written under another name and renamed, so a lost or repeated task leaves the same files. Bases are prefix
-    sums of the parts' counts. parts: spark.sql.shuffle.partitions unless given.
+    sums of the parts' counts. parts: unless given, one for each PART_BYTES of text, spark.sql.shuffle.partitions at least.
 
     Null ids come first, null and empty texts have end_id alone, repeated rows are written each, an empty table gives
     empty files, other columns are left out.
     """
     spark = df.sparkSession
-    small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     dtype = "<u2" if max(tokenizer(tokenizer_path(name)).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     system, root = at_path(path)
     system.create_dir(root)
@@ -139,7 +153,8 @@ def write_token_files(df: DataFrame, path: str, name: str = "word_bpe_49k.json",
 
     rows = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(parts, F.col("k"), F.xxhash64("text")).sortWithinPartitions("k", F.xxhash64("text"))
-    made = sorted(ranged.mapInArrow(run, "part long, docs long, tokens long, nulls long").toArrow().to_pylist(), key=lambda r: r["part"])
+    with arrow_rows(spark, 2000):
+        made = sorted(ranged.mapInArrow(run, "part long, docs long, tokens long, nulls long").toArrow().to_pylist(), key=lambda r: r["part"])
     base = 0
     for row in made:
         row["base"], base = base, base + row["tokens"]
@@ -160,14 +175,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for k in batch.column(0).to_pylist():
                 row = parts[k]
                 at = f"{path}/ids-{row['part']:06d}"
-                ids, offsets, docs = mapped(f"{at}.bin", dtype), mapped(f"{at}.idx", "<i8"), mapped(f"{at}.doc", "<i8")
-                for i in range(0, row["docs"], READ_ROWS):
-                    own = np.array(offsets[i : i + READ_ROWS + 1])
-                    packed = [ids[a:b].astype("<u4").tobytes() for a, b in zip(own[:-1], own[1:], strict=True)]
+                ids, offsets, docs = Mapped(f"{at}.bin", dtype), Mapped(f"{at}.idx", "<i8"), Mapped(f"{at}.doc", "<i8")
+                i = 0
+                while i < row["docs"]:
+                    own = np.array(offsets[i : min(i + READ_ROWS, row["docs"]) + 1])
+                    own = own[: max(2, int(np.searchsorted(own, own[0] + READ_BYTES // 4, "right")))]
+                    n, held = len(own) - 1, ids[int(own[0]) : int(own[-1])].astype("<u4")
+                    packed = [held[a:b].tobytes() for a, b in zip(own[:-1] - own[0], own[1:] - own[0], strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[i : i + len(packed)], mask=np.arange(i, i + len(packed)) < row["nulls"]), pa.array(own[:-1] + row["base"]), pa.array(np.diff(own)), pa.array(packed, pa.binary())],
+                        [pa.array(np.array(docs[i : i + n]), mask=np.arange(i, i + n) < row["nulls"]), pa.array(own[:-1] + row["base"]), pa.array(np.diff(own)), pa.array(packed, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
+                    i += n
 
     return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
