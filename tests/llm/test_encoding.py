@@ -32,8 +32,8 @@ def test_words_are_encoded_once_whatever_the_chunks(spark, monkeypatch):
     """Small chunks and slices, so that words are shared by many chunks; the ids don't change, and no word has two rows in the table."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = sorted((r.doc_id, list(r.ids)) for r in encode(docs).collect())
-    monkeypatch.setattr(word_table, "CHUNK_WORDS", 50)
-    monkeypatch.setattr(word_table, "SLICE_ROWS", 7)
+    monkeypatch.setattr(word_table, "CHUNK_WORDS", 500)
+    monkeypatch.setattr(word_table, "ROW_DOCUMENTS", 7)
     assert sorted((r.doc_id, list(r.ids)) for r in encode(docs.repartition(3)).collect()) == want
     split = word_table.split_words(docs.selectExpr("doc_id k", "text"), tokenizer_path("byte_bpe_50k.json"))
     words = [(r.kind, r.seq) for r in word_table.coded(split, 16).where("kind < 2").collect()]

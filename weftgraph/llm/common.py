@@ -80,12 +80,13 @@ def tidy(run: Callable) -> Callable:
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column laid end to end, and the n + 1 offsets of its rows; nulls are empty."""
+    """UTF-8 bytes of a string or binary column laid end to end, and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if kind == pa.large_binary() else "")
+    column = column.cast(kind)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -10,17 +10,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import drop_at_exit, shared_dir, tidy, tokenizer_path
+from weftgraph.llm.common import bytes_of, drop_at_exit, shared_dir, tidy, tokenizer_path
 
-#: Distinct words, and their bytes, after which a task begins another chunk of documents.
-CHUNK_WORDS, CHUNK_BYTES = 200_000, 1 << 24
-#: Documents whose words are handled at once in a worker.
-SLICE_ROWS = 500
+#: Words of a chunk of documents, and their bytes, after which another chunk begins.
+CHUNK_WORDS, CHUNK_BYTES = 6_000_000, 48 << 20
+#: Documents of a chunk in one row of the coded documents, and lists that are decoded at once.
+ROW_DOCUMENTS = 500
 #: Buckets of the distinct-word table for each shuffle partition, and buckets at most.
 BUCKETS_EACH, MOST_BUCKETS = 4, 4096
 #: Kinds of rows of the coded documents: words, whole texts that only the library can split, documents.
@@ -91,60 +92,68 @@ def unpacked(block: bytes, kinds: str) -> list:
     return out
 
 
-class Codes(dict):
-    """Codes of a chunk's distinct words by first appearance; whole texts are keyed by (text,)."""
-
-    def __init__(self):
-        super().__init__()
-        self.bytes = 0
-
-    def __missing__(self, word) -> int:
-        self.bytes += len(word[0] if isinstance(word, tuple) else word)
-        self[word] = code = len(self)
-        return code
-
-    def rows(self, chunk: int, buckets: int) -> Iterator[tuple]:
-        """Rows of the words by bucket: (chunk, kind, bucket, -, -, block of codes, lengths and bytes)."""
-        for kind in (WORD, WHOLE):
-            words = [((w[0] if kind else w).encode(), c) for w, c in self.items() if isinstance(w, tuple) == (kind == WHOLE)]
-            by_bucket: dict[int, list[tuple[bytes, int]]] = {}
-            for w, c in sorted(words):
-                by_bucket.setdefault(zlib.crc32(w) % buckets, []).append((w, c))
-            for bucket, own in sorted(by_bucket.items()):
-                yield chunk, kind, bucket, None, None, packed(np.array([c for _, c in own]), np.array([len(w) for w, _ in own]), b"".join(w for w, _ in own))
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["chunk", "kind", "seq", "ks", "lens", "data"])
 
 
+def word_rows(chunk: int, kind: int, words: pa.Array, codes: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """A row for each bucket of a chunk's distinct words: their codes, lengths and bytes, by word."""
+    bucket = np.array([zlib.crc32(w) % buckets for w in words.cast(pa.binary()).to_pylist()], np.int64)
+    order = pc.sort_indices(pa.table({"b": bucket, "w": words}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
+    data, at = bytes_of(words.take(pa.array(order)))
+    bucket, codes = bucket[order], codes[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield chunk, kind, int(bucket[lo]), None, None, packed(codes[lo:hi], np.diff(at[lo : hi + 1]), data[at[lo] : at[hi]].tobytes())
+
+
+def chunk_rows(chunk: int, batches: list[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
+    """The rows of a chunk of split documents (k, words, odd): see _CODED. Codes count from the most frequent word."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    k, listed, odd = (c.chunk(0) for c in rows.columns)
+    listed = listed.fill_null([])
+    at = listed.offsets.to_numpy().astype(np.int64)
+    met, whole = listed.values.slice(at[0], at[-1] - at[0]).dictionary_encode(), odd.drop_null().dictionary_encode()
+    code, lens, at = met.indices.to_numpy(), np.diff(at), at - at[0]
+    if len(whole):
+        lone = np.flatnonzero(odd.is_valid().to_numpy(zero_copy_only=False))
+        code = np.insert(code, at[lone], whole.indices.to_numpy() + len(met.dictionary))
+        lens[lone] = 1
+        at = np.concatenate([[0], np.cumsum(lens)])
+    total = len(met.dictionary) + len(whole.dictionary)
+    rank = np.empty(total, np.int64)
+    rank[np.argsort(-np.bincount(code, minlength=total), kind="stable")] = np.arange(total)
+    code = rank[code] if total else code
+    for i in range(0, len(k), ROW_DOCUMENTS):
+        j = min(i + ROW_DOCUMENTS, len(k))
+        yield chunk, DOCUMENT, i // ROW_DOCUMENTS, k.slice(i, j - i).to_pylist(), lens[i:j], packed(code[at[i] : at[j]])
+    yield from word_rows(chunk, WORD, met.dictionary, rank[: len(met.dictionary)], buckets)
+    yield from word_rows(chunk, WHOLE, whole.dictionary, rank[len(met.dictionary) :], buckets)
+
+
 def coded(split: DataFrame, buckets: int) -> DataFrame:
     """Documents as codes of their words, and the words that the codes stand for, by chunk; see _CODED.
 
-    A chunk is a run of a partition's documents with at most about CHUNK_WORDS distinct words or CHUNK_BYTES of them.
+    A chunk is a run of a partition's documents with about CHUNK_WORDS words or CHUNK_BYTES of them at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, codes, seq = TaskContext.get().partitionId() << 20, Codes(), 0
+        chunk, held, words, size = TaskContext.get().partitionId() << 20, [], 0, 0
         for whole in batches:
-            for i in range(0, len(whole), SLICE_ROWS):
-                batch = whole.slice(i, SLICE_ROWS)
-                words = batch.column(1).fill_null([])
-                at = words.offsets.to_numpy().astype(np.int64)
-                code = words.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-                own = np.array([codes[w] for w in code.dictionary.to_pylist()], np.uint32)[code.indices.to_numpy()]
-                lens = np.diff(at)
-                for row in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)):
-                    own = np.insert(own, lens[:row].sum(), codes[(batch.column(2)[int(row)].as_py(),)])
-                    lens[row] = 1
-                yield _batch([(chunk, DOCUMENT, seq, batch.column(0).to_pylist(), lens, packed(own))])
-                seq += 1
-                if len(codes) >= CHUNK_WORDS or codes.bytes >= CHUNK_BYTES:
-                    yield _batch(list(codes.rows(chunk, buckets)))
-                    chunk, codes, seq = chunk + 1, Codes(), 0
-        if codes:
-            yield _batch(list(codes.rows(chunk, buckets)))
+            for i in range(0, len(whole), ROW_DOCUMENTS):
+                batch = whole.slice(i, ROW_DOCUMENTS)
+                held.append(batch)
+                at = batch.column(1).offsets
+                words += at[-1].as_py() - at[0].as_py()
+                size += sum(pc.sum(pc.binary_length(x)).as_py() or 0 for x in (batch.column(1).flatten(), batch.column(2)))
+                if words >= CHUNK_WORDS or size >= CHUNK_BYTES:
+                    for row in chunk_rows(chunk, held, buckets):
+                        yield _batch([row])
+                    chunk, held, words, size = chunk + 1, [], 0, 0
+        if held:
+            for row in chunk_rows(chunk, held, buckets):
+                yield _batch([row])
 
     return split.mapInArrow(tidy(run), _CODED)
 
@@ -182,101 +191,76 @@ def word_ids(words: DataFrame, name: str) -> DataFrame:
     return words.repartition("kind", "seq").sortWithinPartitions("kind", "seq", "chunk").mapInArrow(tidy(run), _CODED)
 
 
-def positioned(rows: DataFrame) -> DataFrame:
+def positioned(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, ids: each chunk's documents, their codes replaced by the ids of the words they stand for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blocks, lists = None, [], None
-        for batch in batches:
-            for k in range(len(batch)):
-                chunk, kind, block = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(5)[k].as_py()
-                if chunk != at:
-                    at, blocks, lists = chunk, [], None
-                if kind == WORD:
-                    blocks.append(unpacked(block, "iii"))
-                    continue
-                if lists is None and blocks:
-                    codes, lens, ids = (np.concatenate([b[c] for b in blocks]) for c in range(3))
-                    order = np.argsort(codes)
-                    ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-                    lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4"))).take(pa.array(order))
-                    blocks = []
-                words = batch.column(4)[k].values.to_numpy().astype(np.int64)
-                own = unpacked(block, "i")[0]
-                ends = np.concatenate([[0], np.cumsum(words)])
-                if len(own):
-                    found = lists.take(pa.array(own))
-                    ends, values = found.offsets.to_numpy()[ends], found.values
-                else:
-                    values = pa.array([], pa.int32())
-                out = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), values.slice(ends[0]))
-                yield pa.RecordBatch.from_arrays([batch.column(3)[k].values, out], ["doc_id", "ids"])
-
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "seq").mapInArrow(tidy(run), "doc_id long, ids array<int>")
+    def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+        blocks = [unpacked(b.as_py(), "iii") for b in words["data"]]
+        codes, lens, flat = (np.concatenate([np.zeros(0, "<u4"), *(b[c] for b in blocks)]) for c in range(3))
+        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat.view("<i4"))).take(pa.array(np.argsort(codes)))
+        out = []
+        for ks, counts, block in zip(*(documents.sort_by("seq")[c] for c in ("ks", "lens", "data")), strict=True):
+            found = lists.take(pa.array(unpacked(block.as_py(), "i")[0]))
+            at = found.offsets.to_numpy()[np.concatenate([[0], np.cumsum(counts.values.to_numpy(), dtype=np.int64)])]
+            out.append(pa.RecordBatch.from_arrays([ks.values, pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), found.values.slice(at[0], at[-1] - at[0]))], ["doc_id", "ids"]))
+        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+
+    return documents.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(run, "doc_id long, ids array<int>")
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of each row's whole text, as the tokenizers library encodes it without added special tokens.
 
     Spark splits the texts into words. Each task writes its documents as codes and, once for each chunk of documents, the
-    distinct words that the codes stand for, to the shared folder (dropped at exit). The words meet by bucket of their
-    hash, where each distinct word is encoded once for the whole corpus; its ids go back to the chunks, where codes are
-    replaced by position. So words move once for each chunk that has them, and texts never move. Texts with special
-    strings or characters that the JVM's Unicode tables don't know are taken as one word each, which the library encodes.
+    distinct words that the codes stand for, to a table in the shared folder that is bucketed by chunk (dropped at
+    exit). The words meet by bucket of their hash, where each distinct word is encoded once for the whole corpus; its ids
+    go back to the chunks, where codes are replaced by position. So words move once for each chunk that has them, and
+    neither texts nor codes move. Texts with special strings or characters that the JVM's Unicode tables don't know are
+    taken as one word each, which the library encodes.
 
     One row for each input row: null ids stay null, null and empty texts have no ids, repeated rows stay, very long texts
     stay whole, an empty table gives none, other columns, whatever their names, are left out.
     """
     spark, path = df.sparkSession, tokenizer_path(name)
     split = split_words(df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")), path)
-    folder = f"{shared_dir(spark).rstrip('/')}/coded-{uuid.uuid4().hex}"
-    drop_at_exit(spark, folder)
-    buckets = min(BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
-    coded(split, buckets).write.option("compression", "zstd").parquet(folder)
-    rows = spark.read.schema(_CODED).parquet(folder)
-    return positioned(rows.where(F.col("kind") == DOCUMENT).unionByName(word_ids(rows.where(F.col("kind") < DOCUMENT), name)))
+    parts, name_of = int(spark.conf.get("spark.sql.shuffle.partitions")), f"coded_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{name_of}"
+    drop_at_exit(spark, folder, name_of)
+    written = coded(split, min(BUCKETS_EACH * parts, MOST_BUCKETS)).write.format("parquet").option("compression", "zstd").option("path", folder)
+    written.bucketBy(parts, "chunk").saveAsTable(name_of)
+    rows = spark.table(name_of)
+    return positioned(rows.where(F.col("kind") == DOCUMENT).select("chunk", "seq", "ks", "lens", "data"), word_ids(rows.where(F.col("kind") < DOCUMENT), name).select("chunk", "data"))
+
+
+def texts_of(ids: pa.Array, table: pa.Table) -> list[str]:
+    """The text of each list of ids: an outer join of the ids with the pieces by hash, in order, and their bytes end to end."""
+    ids = ids.fill_null([])
+    at = ids.offsets.to_numpy().astype(np.int64)
+    tokens = ids.values.slice(at[0], at[-1] - at[0])
+    data, ends = bytes_of(table["piece"].take(pc.index_in(tokens, value_set=table["id"])).combine_chunks())
+    ends, data = ends[at - at[0]].tolist(), memoryview(data)
+    return [str(data[a:b], "utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def decode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, ids and text: every id is joined with the table of pieces, whose bytes are put end to end; what isn't UTF-8 is replaced.
 
-    The table has a row for each id of the vocabulary, which bounds its broadcast. The join keeps the order of a
-    partition's rows, so a document's pieces stay in line and nothing is shuffled.
+    The table has a row for each id of the vocabulary, so each worker holds it; the join goes by hash over the ids of
+    ROW_DOCUMENTS lists at a time and keeps their order, so nothing is shuffled.
 
     One row for each input row. Null ids inside a list and ids outside the vocabulary have no piece; a null or empty list
-    decodes to an empty text; null doc_ids and repeated rows stay; an empty table gives none; other columns are left out.
+    decodes to an empty text; null doc_ids and repeated rows stay; very long lists stay whole; an empty table gives none;
+    other columns, whatever their names, are left out.
     """
-    by_id = pieces(tokenizer_path(name))
-    table = df.sparkSession.createDataFrame(pa.table({"id": pa.array(list(by_id), pa.int32()), "piece": pa.array(list(by_id.values()), pa.binary())}))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    tokens = rows.select("doc_id", "ids", F.posexplode_outer("ids").alias("pos", "id"))
-    first = F.coalesce(F.col("pos") == 0, F.lit(True))
-    tokens = tokens.select(first.alias("first"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("ids")).alias("ids"), "id")
-    joined = tokens.join(F.broadcast(table), "id", "left").select("first", "doc_id", "ids", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head = [], None
-
-        def made(heads: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
-            both = pa.Table.from_batches(heads).combine_chunks()
-            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in both.columns), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["doc_id", "ids", "text"])
+        by_id = pieces(tokenizer_path(name))
+        table = pa.table({"id": pa.array(list(by_id), pa.int32()), "piece": pa.array(list(by_id.values()), pa.large_binary())}).combine_chunks()
+        for whole in batches:
+            for i in range(0, len(whole), ROW_DOCUMENTS):
+                batch = whole.slice(i, ROW_DOCUMENTS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts_of(batch.column(1), table), pa.string())], ["doc_id", "ids", "text"])
 
-        for batch in batches:
-            starts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
-            piece = batch.column(3).fill_null(b"").cast(pa.large_binary())
-            ends = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1]
-            data = memoryview(piece.buffers()[2] or b"")
-            if not len(starts):
-                held.append(bytes(data[ends[0] : ends[-1]]))
-                continue
-            heads = batch.select([1, 2]).take(pa.array(starts))
-            cuts = ends[np.append(starts, len(piece))].tolist()
-            texts = [bytes(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            held.append(bytes(data[ends[0] : cuts[0]]))
-            if len(starts) > 1 or head is not None:
-                yield made(([head] if head is not None else []) + [heads.slice(0, len(starts) - 1)], ([b"".join(held)] if head is not None else []) + texts[:-1])
-            head, held = heads.slice(len(starts) - 1), [texts[-1]]
-        if head is not None:
-            yield made([head], [b"".join(held)])
-
-    return joined.mapInArrow(tidy(run), "doc_id long, ids array<int>, text string")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>, text string")
