@@ -33,6 +33,9 @@ def test_edges(spark):
     assert {r.source for r in rows} == {"a"}
     ones = sorted(r.copy for r in rows if r.doc_id == 1)
     assert ones[::2] == ones[1::2] and ones
+    long = spark.createDataFrame([(1, "w " * 400_000, "a", 1, 2, 3)], "doc_id long, text string, source string, __n int, __key int, __source int")
+    made = mixing.replicate(long, rates).collect()
+    assert len(made) > 0 and {len(r.text) for r in made} == {800_000} and made[0].asDict().keys() == {*long.columns, "copy", "shuffle_key"}
     assert mixing.replicate(docs.limit(0), rates).count() == 0
     assert mixing.replicate(docs, rates.limit(0)).count() == 0
     assert mixing.tempered_rates(docs.limit(0)).count() == 0

@@ -23,6 +23,9 @@ def test_rows(spark):
     want = sorted(((i, len((t or "").encode()), n := len(MODEL.encode(t or "")), n > 2) for i, t, _ in rows), key=str)
     assert got == want
     assert count_tokens(df.limit(0)).count() == 0
+    long = ["many words of one text " * 20_000, "x" * 30_000, "漢字" * 5000]
+    counted = count_tokens(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in counted] == [len(MODEL.encode(t)) for t in long]
 
 
 def test_documents(spark):

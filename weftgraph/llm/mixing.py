@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import small_enough, unit
+from weftgraph.llm.common import fresh_name, small_enough, unit
 
 #: Share of a source in the mixture: its documents to this power, over the sum of that.
 POWER = 0.5
@@ -43,20 +43,24 @@ def replicate(df: DataFrame, rates: DataFrame, seed: int = SEED, id_col: str = "
     Columns: those of df, then copy (1, 2, ...) and shuffle_key, replacing any of those names; rows come sorted by
     shuffle_key. rates: (source, rate); sources without a rate, or with one that is null or not over 0, get no rows. Draws
     depend on the seed and the id only, so repeated rows are repeated alike; rows without an id are drawn by their text.
-    Null sources match a null source of rates. Empty tables give none. A hot source costs nothing: rates are joined by a
+    Null sources match a null source of rates. Texts, however long, go with their rows. Empty tables give none. Other
+    columns, whatever their names, stay. A hot source costs nothing: rates are joined by a
     broadcast up to BROADCAST_SOURCES, else by a join whose skew adaptive execution splits, and the shuffle is by range
     of a hash.
     """
     own = [c for c in df.columns if c not in ("copy", "shuffle_key")]
-    rated = rates.where(F.col("rate") > 0).select(F.col("source").alias("__source"), F.ceil(F.col("rate") / LARGEST_RATE).cast("int").alias("__pieces"), (F.col("rate") / F.ceil(F.col("rate") / LARGEST_RATE)).alias("__rate"))
-    rated = rated.select("__source", "__pieces", cumulative(F.col("__rate")).alias("__cdf"))
+    at, pieces, part_rate, cdf, key, n = (fresh_name(df, x) for x in ("source", "pieces", "rate", "cdf", "key", "n"))
+    split = F.ceil(F.col("rate") / LARGEST_RATE)
+    rated = rates.where(F.col("rate") > 0).select(F.col("source").alias(at), split.cast("int").alias(pieces), (F.col("rate") / split).alias(part_rate))
+    rated = rated.select(at, pieces, cumulative(F.col(part_rate)).alias(cdf))
     if small_enough(rates, BROADCAST_SOURCES):
         rated = F.broadcast(rated)
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__pieces")), F.lit(0), lambda acc, j: acc + F.size(F.filter(F.col("__cdf"), lambda c: c <= unit(F.lit(f"draw:{seed}"), F.col("__key"), j))))
-    rows = df.select(*own).withColumn("__key", key).join(rated, F.col(source_col).eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__n", drawn).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"place:{seed}"), F.col("__key"), F.col("copy"))), 1, 13), 16, 10).cast("long")
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    draws = F.transform(F.sequence(F.lit(1), F.col(pieces)), lambda j: unit(F.lit(f"draw:{seed}"), F.col(key), j))
+    drawn = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    rows = df.select(*own).withColumn(key, named).join(rated, F.col(source_col).eqNullSafe(F.col(at)))
+    rows = rows.withColumn(n, drawn).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"place:{seed}"), F.col(key), F.col("copy"))), 1, 13), 16, 10).cast("long")
     return rows.withColumn("shuffle_key", place).select(*own, "copy", "shuffle_key").orderBy("shuffle_key", id_col, "copy")
 
 
