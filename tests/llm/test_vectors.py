@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from weftgraph.llm import components, vector_graph
 from weftgraph.llm.components import connected_components
@@ -53,6 +54,22 @@ def test_documents_recall(spark):
     assert vector_graph.recall(df, vector_graph.near_vectors(df), every=5) >= 0.99
 
 
+def test_hubs_are_pruned(spark):
+    draw = np.random.default_rng(2)
+    x = np.concatenate([np.ones((1, 16)), draw.normal(size=(1500, 16)) + 1.5])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = vector_graph.pruned_edges(x, 1)
+    assert np.bincount(a).max() <= vector_graph.MOST_DEGREE and (a != b).all() and len(set(zip(a.tolist(), b.tolist()))) == len(a)
+
+
+def test_audit(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert vector_graph.audited(df).count() == df.count()
+    monkeypatch.setattr(vector_graph, "near_vectors", lambda rows, **_: rows.selectExpr("vec_id", "0L n_links", "vec_id component_id", "true kept"))
+    with pytest.raises(RuntimeError):
+        vector_graph.audited(df)
+
+
 def test_components(spark, monkeypatch):
     draw = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in draw.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 1)]

@@ -14,7 +14,7 @@ from weftgraph.llm.language import identify, identify_pages
 from weftgraph.llm.quality import quality_rules
 from weftgraph.llm.token_counts import count_tokens
 from weftgraph.llm.token_files import drop_token_files, new_folder, read_token_files, write_token_files
-from weftgraph.llm.vector_graph import near_vectors
+from weftgraph.llm.vector_graph import audited
 from weftgraph.llm.word_table import decode, encode
 
 
@@ -45,7 +45,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return audited(table(spark, sf_dir, "embeddings"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

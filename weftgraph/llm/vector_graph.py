@@ -20,6 +20,10 @@ SHARD_ROWS, OVERLAP, SHARD_MOST = 1500, 3, 12_000
 SAMPLE_ROWS, MOST_CENTROIDS = 20_000, 4096
 #: Neighbours looked at for each node, edges kept by pruning, random nodes offered for long edges, and the factor of pruning.
 CANDIDATES, DEGREE, RANDOM, ALPHA = 64, 20, 8, 1.2
+#: Edges of a node in a shard at most: one that the reverses of others' edges bring over that is pruned again.
+MOST_DEGREE = 2 * DEGREE
+#: Least share of the links found by brute force that the audit of a search accepts.
+LEAST_RECALL = 0.9
 #: Width of the greedy search, medoids it starts from, and how far under the threshold expansion still follows edges.
 BEAM, STARTS, SLACK = 48, 16, 0.04
 _BLOCK = 256
@@ -52,6 +56,7 @@ def pruned_edges(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(from, to) of a graph over the rows of x: each node's nearest and some random nodes, robustly pruned, and the edges' reverses.
 
     Pruning takes the nearest candidate, drops those that are ALPHA times nearer to it than to the node, and goes on.
+    Nodes that the reverses bring over MOST_DEGREE edges are pruned again, so hubs have no more than others.
     """
     n = len(x)
     if n < 2:
@@ -82,7 +87,23 @@ def pruned_edges(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
             dist[rows] = block
     a, b = np.concatenate(source), np.concatenate(target)
     both = np.unique(np.concatenate([a * n + b, b * n + a]))
-    return both // n, both % n
+    a, b = both // n, both % n
+    degree = np.bincount(a, minlength=n)
+    for node in np.flatnonzero(degree > MOST_DEGREE):
+        own = np.flatnonzero(a == node)
+        b[np.setdiff1d(own, own[robust(x, node, b[own])])] = -1
+    return a[b >= 0], b[b >= 0]
+
+
+def robust(x: np.ndarray, node: int, cand: np.ndarray) -> list[int]:
+    """Places of the candidates that pruning keeps for a node, DEGREE of them at most."""
+    dist, kept = 1 - x[cand] @ x[node], []
+    while len(kept) < DEGREE and np.isfinite(dist).any():
+        best = int(dist.argmin())
+        kept.append(best)
+        dist[ALPHA * (1 - x[cand] @ x[cand[best]]) <= dist] = np.inf
+        dist[best] = np.inf
+    return kept
 
 
 def padded(adjacency: list[np.ndarray]) -> np.ndarray:
@@ -340,18 +361,23 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shard_rows: int =
     judged = cut(groups.join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     judged = judged.join(judged.groupBy("component").agg(F.min("node0").alias("least")), "component")
     judged = judged.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component"))
-    out = rows.join(judged, "vec", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    out = rows.where("vec is not null").join(judged, "vec").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    # what can't link is kept out of the join, where nulls would be one key
+    out = out.unionByName(rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def recall(df: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 50, block: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> float:
-    """Links found for the rows whose id is divisible by `every`, over those that brute force against all rows finds; queries go in blocks."""
+    """Links found for the rows whose id is divisible by `every`, over those that brute force against all rows finds; queries come to the driver in blocks of about `block`."""
     vec = F.col(vec_col).cast(_VECTOR)
     rows = df.select(F.col(id_col).cast("long").alias("k"), vec.alias("vec")).where(usable(vec) & F.col(id_col).isNotNull())
-    asked = rows.where(F.col("k") % every == 0).join(found.select(F.col("vec_id").alias("k"), "n_links"), "k").orderBy("k").toArrow().to_pylist()
+    asked = rows.where(F.col("k") % every == 0).join(found.select(F.col("vec_id").alias("k"), "n_links"), "k")
+    blocks = 1 + asked.count() // block
     hit = true = 0
-    for i in range(0, len(asked), block):
-        part = asked[i : i + block]
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).toArrow().to_pylist()
+        if not part:
+            continue
 
         def count(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(part), np.int64)
@@ -370,3 +396,12 @@ def recall(df: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every:
         hit += sum(min(r["n_links"], int(s)) for r, s in zip(part, sums, strict=True))
     return hit / true if true else 1.0
 
+
+def audited(df: DataFrame, least: float = LEAST_RECALL, **options) -> DataFrame:
+    """near_vectors() of df, whose search has been audited by recall() over every row whose id is divisible by 50; RuntimeError under `least`."""
+    found = cut(near_vectors(df, **options))
+    got = recall(df, found, options.get("threshold", THRESHOLD), id_col=options.get("id_col", "vec_id"), vec_col=options.get("vec_col", "embedding"))
+    if got < least:
+        raise RuntimeError(f"the search found {got:.3f} of the audited links")
+    return found
+
