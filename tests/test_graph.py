@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.config import EmbedConfig, epoch_distribution, parameter_grid, parse_args
 from weftgraph.functions import scalars as sc
-from weftgraph.operators import bloom, coarsen, graph, matrix, order, sampling, train
+from weftgraph.operators import bloom, coarsen, components, graph, matrix, order, sampling, train
+from weftgraph.operators.components import connected_components
 from weftgraph.plans.ranking import balanced_part, global_rank, sums_before
 from weftgraph.sources import edges as ed
 from weftgraph.sources import matrix_market as mm
@@ -67,13 +68,18 @@ def test_cuts_and_orders(tiny, spark):
     path = spark.createDataFrame([(3, 9), (9, 1), (1, 7), (7, 5)], "src long, dst long")
     rank = {r.id: r["rank"] for r in order.reverse_cuthill_mckee(path).collect()}
     assert graph.bandwidth(order.relabel(path, order.reverse_cuthill_mckee(path))).first()[0] == 1 and len(rank) == 5
+    # many components, a vertex with a loop only, a long path: every vertex has a rank, components are runs of ranks
+    many = [(10 * k, 10 * k + 1) for k in range(30)] + [(500, 500)] + [(600 + k, 601 + k) for k in range(13)] + [(600, 601)]
+    rank = {r.id: r["rank"] for r in order.reverse_cuthill_mckee(spark.createDataFrame(many, "src long, dst long")).collect()}
+    assert sorted(rank.values()) == list(range(60 + 1 + 14)) and set(rank) == {x for e in many for x in e}
+    assert rank[500] == 74 and all(abs(rank[a] - rank[b]) <= 1 for a, b in many)
     assert [tuple(r) for r in order.pair_lattice(spark, 3).orderBy("pair").collect()] == [(0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 2, 0), (4, 2, 1), (5, 2, 2)]
 
 
 def test_coarsening(tiny, spark):
     _, arcs, degree, placed = tiny
-    for cap, want in ((0, [4, 5, 1, 3, 2, 0, 6]), (1, [4, 1, 1, 3, 2, 0, 0])):
-        cmap = coarsen.cluster_ids(coarsen.match_capped(placed, degree, cap), degree)
+    for cap, want, task in ((0, [4, 5, 1, 3, 2, 0, 6], 0), (1, [4, 1, 1, 3, 2, 0, 0], 0), (1, [4, 1, 1, 3, 2, 0, 0], 100)):
+        cmap = coarsen.cluster_ids(coarsen.match(placed, degree, cap, task), degree)
         assert [r.super for r in cmap.orderBy("id").collect()] == want
     cmap = coarsen.cluster_ids(coarsen.match(placed, degree), degree)
     assert [r.super for r in cmap.orderBy("id").collect()] == [4, 1, 1, 3, 2, 0, 0]
@@ -85,14 +91,34 @@ def test_coarsening(tiny, spark):
     assert [x["n"] for x in coarsen.levels(arcs, EmbedConfig())] == [7]
 
 
-def test_matching_by_rounds_is_the_sequential_rule(spark):
+def sequential_matching(placed, degree, cap):
+    """id -> hub by the rule, one vertex after the other."""
+    deg = {r.id: r.deg for r in degree.collect()}
+    near = {}
+    for r in sorted(placed.collect(), key=lambda r: r.pos):
+        near.setdefault(r.src, []).append(r.dst)
+    limit, hub = sum(deg.values()) // len(deg) + 1, {}
+    for i in sorted((i for i, d in deg.items() if d > 0), key=lambda i: (-deg[i], -i)):
+        if i in hub:
+            continue
+        hub[i], took = i, 0
+        for j in near.get(i, []):
+            if took < cap and j not in hub and 0 < deg[j] < limit:
+                hub[j], took = i, took + 1
+    return sorted(hub.items())
+
+
+def test_matching_by_rounds_is_the_sequential_rule(spark, monkeypatch):
+    monkeypatch.setattr(coarsen, "_SLOTS", 2)
     draw = random.Random(2)
-    for _ in range(3):
-        n = draw.randrange(5, 60)
-        edges = spark.createDataFrame([(draw.randrange(n), draw.randrange(n)) for _ in range(draw.randrange(n, 3 * n))], "src long, dst long")
+    for hubs in (False, True, True):
+        n = draw.randrange(20, 60)
+        pick = lambda: draw.randrange(n) if not hubs or draw.random() < 0.6 else draw.randrange(3)
+        edges = spark.createDataFrame([(pick(), draw.randrange(n)) for _ in range(draw.randrange(n, 3 * n))], "src long, dst long")
         arcs = graph.symmetrize(ed.with_lines(edges)).cache()
         degree, placed = graph.degrees(graph.vertices(edges), arcs).cache(), graph.slots(arcs, "line", "side").cache()
-        assert lists(coarsen.match(placed, degree), "id", "hub") == lists(coarsen.match_capped(placed, degree, 10**9), "id", "hub")
+        for cap, task in ((None, 0), (2, 0), (2, 30), (1, 10**6)):
+            assert lists(coarsen.match(placed, degree, cap, task), "id", "hub") == sequential_matching(placed, degree, cap or 10**9)
 
 
 def test_alias(tiny):
@@ -164,9 +190,18 @@ def test_matrix_market(spark, tmp_path):
     assert lists(again, "i", "j", "v") == lists(coo, "i", "j", "v") and str(kind) == "matrix coordinate real general"
     text.write_text("%%MatrixMarket matrix coordinate pattern symmetric\n2 2 2\n1 1\n2 1\n")
     assert lists(mm.read_matrix(spark, str(text))[0], "i", "j", "v") == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0)]
-    text.write_text("%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 2 3\n")
-    with pytest.raises(mm.MatrixMarketError):
-        mm.read_matrix(spark, str(text))
+    text.write_text("%%MatrixMarket matrix coordinate complex hermitian\n2 2 2\n1 1 2 0\n2 1 2 3\n")
+    assert lists(mm.read_matrix(spark, str(text))[0], "i", "j", "v", "im") == [(0, 0, 2.0, 0.0), (0, 1, 2.0, -3.0), (1, 0, 2.0, 3.0), (1, 1, 0.0, 0.0)][:3]
+    text.write_text("%%MatrixMarket matrix array real general\n% by columns\n2 3\n1\n2\n3\n4\n5\n6\n")
+    dense, kind, sizes = mm.read_matrix(spark, str(text))
+    assert sizes == (2, 3) and lists(dense, "i", "j", "v") == [(0, 0, 1.0), (0, 1, 3.0), (0, 2, 5.0), (1, 0, 2.0), (1, 1, 4.0), (1, 2, 6.0)]
+    for symmetry, low in (("symmetric", 0), ("skew-symmetric", 1)):
+        n, values = 40, iter(range(1, 2000))
+        want = {(i, j): float(next(values)) for j in range(n) for i in range(j + low, n)}
+        coo = spark.createDataFrame([(i, j, v) for (i, j), v in want.items()], "i long, j long, v double")
+        mm.write_matrix(coo, str(tmp_path / symmetry), n, n, mm.Kind(format="array", symmetry=symmetry))
+        again, _, sizes = mm.read_matrix(spark, str(tmp_path / symmetry), whole=False)
+        assert sizes == (n, n) and {(r.i, r.j): r.v for r in again.collect()} == want
     text.write_text("2 2 1\n1 2 4\n")
     with pytest.raises(mm.MatrixMarketError):
         mm.read_matrix(spark, str(text))
@@ -174,6 +209,32 @@ def test_matrix_market(spark, tmp_path):
     assert not mm.Kind(format="array", field="pattern").valid and not mm.Kind(symmetry="hermitian").valid
 
 
+def test_folders_of_parts_of_unlike_sizes(spark, tmp_path):
+    """Spark packs larger files first; lines still come by the files' names."""
+    parts = tmp_path / "emb"
+    parts.mkdir()
+    (parts / "part-00000").write_text("4 1\n0 0.5\n")
+    (parts / "part-00001").write_text("1 1.5\n2 2.50000000000000000000\n3 3.5\n")
+    assert sorted(map(tuple, ve.read_text(spark, str(parts)).collect())) == [(0, [0.5]), (1, [1.5]), (2, [2.5]), (3, [3.5])]
+    lined = tmp_path / "edges"
+    lined.mkdir()
+    for k, size in enumerate((2, 40, 5)):
+        (lined / f"part-{k}").write_text("# note\n" + "".join(f"{100 * k + i} {i}\n" for i in range(size)))
+    got = ed.read_edge_list(spark, str(lined), lines=True).orderBy("line").collect()
+    assert [r.line for r in got] == list(range(47)) and [r.src for r in got] == [100 * k + i for k, size in enumerate((2, 40, 5)) for i in range(size)]
+    n = 500
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    emb = spark.range(0, n, 1, 7).select("id", F.array((F.col("id") / 4).alias("x"), -F.col("id").cast("double")).alias("vec"))
+    ve.write_text(emb, str(tmp_path / "t"), 2)
+    assert len([f for f in (tmp_path / "t").iterdir() if f.name.startswith("part-")]) > 1
+    assert sorted((r.id, *r.vec) for r in ve.read_text(spark, str(tmp_path / "t")).collect()) == [(i, i / 4, -float(i)) for i in range(n)]
+    coo = spark.range(0, n, 1, 5).select((F.col("id") % 50).alias("i"), F.floor(F.col("id") / 50).alias("j"), (F.col("id") * 1.5).cast("double").alias("v"))
+    mm.write_matrix(coo, str(tmp_path / "m"), 50, 10)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    again, _, sizes = mm.read_matrix(spark, str(tmp_path / "m"))
+    assert sizes == (50, 10, n) and lists(again, "i", "j", "v") == lists(coo, "i", "j", "v")
+
+
 def test_edge_files(spark, tmp_path):
     text = tmp_path / "e.txt"
     text.write_text("% a\n# b\n0 3\n1\t4 2.5\n\n5 5\n")
@@ -188,6 +249,103 @@ def test_edge_files(spark, tmp_path):
     assert lists(ed.read_binary_csr(spark, str(tmp_path / "g.bcsr"), True), "src", "dst", "pos", "w") == lists(placed, "src", "dst", "pos", "w")
 
 
+def test_binary_files_by_range(spark, tmp_path, monkeypatch):
+    """Files of several ranges and pieces read back as written."""
+    for name in ("VERTICES", "ARCS"):
+        monkeypatch.setattr(ed, name, 7)
+    edges = spark.range(0, 300, 1, 5).select((F.col("id") % 40).alias("src"), (F.col("id") * 7 % 41).alias("dst"))
+    placed = graph.slots(edges.withColumn("k", F.col("dst") * 1000), "k", "dst").withColumn("w", F.col("src") + F.col("dst"))
+    ed.write_binary_csr(placed, 45, str(tmp_path / "g.bcsr"))
+    assert lists(ed.read_binary_csr(spark, str(tmp_path / "g.bcsr"), True), "src", "dst", "pos", "w") == lists(placed, "src", "dst", "pos", "w")
+    monkeypatch.setattr(ed, "BLOCK_BYTES", 64)
+    ed.write_binary_edges(edges, str(tmp_path / "e.bin"), "src", "dst")
+    assert lists(ed.read_binary_edges(spark, str(tmp_path / "e.bin")), "src", "dst") == lists(edges, "src", "dst")
+    monkeypatch.setattr(ve, "BLOCK_BYTES", 64)
+    emb = spark.range(0, 100, 1, 4).select("id", F.array((F.col("id") % 10).cast("double"), F.col("id").cast("double")).alias("vec"))
+    ve.write_binary(emb, str(tmp_path / "v.bin"), 100, 2)
+    assert [(r.id, *r.vec) for r in ve.read_binary(spark, str(tmp_path / "v.bin")).orderBy("id").collect()] == [(i, i % 10, i) for i in range(100)]
+    ve.write_sorted_binary(emb, str(tmp_path / "s.bin"), 100, 2)
+    assert [r.vec[1] for r in ve.read_binary(spark, str(tmp_path / "s.bin")).orderBy("id").collect()] == sorted(range(100), key=lambda i: (-(i % 10), i))
+    assert lists(ed.distinct_ends(spark.createDataFrame([(1, 5), (5, 5), (9, 1)], "src long, dst long")), "id") == [(1,), (5,), (9,)]
+
+
+def test_whole_run(spark, tmp_path, capsys):
+    """The small graph from its file to the cut report, the orders and the figures, by flags and by positions."""
+    from weftgraph.__main__ import main
+
+    text, out = tmp_path / "input1.txt", tmp_path / "output1.txt"
+    text.write_text("".join(f"{a} {b}\n" for a, b in TINY))
+    assert main(["--input", str(text), "--output", str(out), "--epochs", "4", "--dimension", "4"]) == 0
+    said = capsys.readouterr().out
+    assert "epochs: [5]" in said and "levels: [7]" in said and "loss: " in said and "budget: 0 B" in said  # 4 * 20 / 7 / 2
+    before, after = (tmp_path / "output1_CUT.txt").read_text().split()
+    assert before == "4" and 0 < int(after) <= 10
+    emb = {r.id: list(r.vec) for r in ve.read_text(spark, str(out)).collect()}
+    ranked = [r.value.split()[0] for r in spark.read.text(str(tmp_path / "output1_SORTED.txt")).collect()][1:]
+    assert len(emb) == 7 and [int(k) for k in ranked] == sorted(emb, key=lambda k: (-emb[k][0], k))
+    near = [tuple(map(int, r.value.split())) for r in spark.read.text(str(tmp_path / "output1_ADJ.txt")).collect()]
+    assert sorted(near) == sorted(TINY)
+    placed = graph.slots(graph.symmetrize(spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(TINY)], "src long, dst long, line long")), "line", "side")
+    ed.write_binary_csr(placed, 7, str(tmp_path / "g.bcsr"))
+    for form, file in (("binary-csr", tmp_path / "g.bcsr"), ("text", text)):
+        made = tmp_path / f"{form}.bin"
+        assert main(["--input", str(file), "--format", form, "--output", str(made), "--epochs", "1", "--dimension", "2", "--binary-output", "--memory", "1000000000"]) == 0
+        assert (tmp_path / f"{form}_CUT.bin").read_text().split()[0] == "4" and ve.read_binary(spark, str(made)).count() == 7
+        assert len((tmp_path / f"{form}_SORTED.bin").read_bytes()) == 8 + 7 * 2 * 4
+    values = [str(text), "2", "3", "2", "0.025", "5", "0", "0", "0", "s-fast", "0.5", "1000", "0.8", "400", "100", "1", "0", "3", "4", "1", "1", "1", "1", "0", "10", "3", "1000", "0", "0", "0", "1", str(tmp_path / "p.txt")]
+    capsys.readouterr()
+    assert main(values) == 0 and "negatives: 3" in capsys.readouterr().out and (tmp_path / "p_CUT.txt").read_text().split()[0] == "4"
+
+
+def test_parts_by_memory_and_rounds(spark):
+    config = EmbedConfig(dimension=128, memory=500_000_000)
+    assert train.parts_of(1_000_000, 10_000_000, config) == 5 and train.parts_of(1000, 1000, config) == 1
+    _, edges = planted(spark)
+    emb, report = train.embed(edges, EmbedConfig(epochs=1, dimension=4, sampling=1, pool=96))
+    assert emb.count() == 200 and report["parts"] == [1]
+    assert train.embed(edges, EmbedConfig(epochs=2, dimension=2), coarsen=False)[1]["epochs"] == [int(2 * edges.count() * 2 / 200 / 2)]
+
+
+def test_vectors_and_timing(spark):
+    assert [r.x for r in matrix.vector(spark, 3).collect()] == [1.0] * 3
+    x = [r.x for r in matrix.vector(spark, 1000, 5).collect()]
+    assert -1 <= min(x) < -0.9 and 0.9 < max(x) < 1
+    coo = spark.createDataFrame([(0, 1, 2.0)], "i long, j long, v double")
+    row = matrix.timed_products(coo, matrix.vector(spark, 2), spark.range(2).withColumnRenamed("id", "i"), 2).first()
+    assert row.times == 2 and row.seconds > 0
+
+
+def test_weighted_draws_at_any_number_of_buckets(spark):
+    weighted = spark.range(300).select("id", (F.col("id") * 37 % 11 * F.when(F.col("id") == 7, 5000).otherwise(1)).alias("w"))
+    asked = spark.range(3000).select("id", (F.col("id") / 3000).alias("u")).withColumnRenamed("id", "k")
+    want = {r.k: r.dst for r in sampling.weighted_draws(asked, weighted, 1).collect()}
+    assert len(want) == 3000
+    for buckets in (None, 13, 5000):
+        assert {r.k: r.dst for r in sampling.weighted_draws(asked, weighted, buckets).collect()} == want
+
+
+def test_components(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in draw.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 1)]
+    label = {}
+    near = {}
+    for a, b in edges:
+        if a is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for a in sorted(near):
+        ahead = [a] if a not in label else []
+        while ahead:
+            n = ahead.pop()
+            if n not in label:
+                label[n] = a
+                ahead += near[n]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == label and len(got) == len(label)
+    monkeypatch.setattr(components, "TASK_LINKS", 50)
+    assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == label
+
+
 def test_vector_files(spark, tmp_path):
     emb = spark.createDataFrame([(1, [0.5, -1.25]), (0, [2.0, 3.0])], "id long, vec array<double>")
     ve.write_text(emb, str(tmp_path / "t"), 2)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from weftgraph.plans.ranking import global_rank, sums_before
 
 
+#: Ids that are spelled out from one row.
+_BLOCK = 1 << 14
+
+
 def symmetrize(edges: DataFrame, directed: bool = False) -> DataFrame:
     """Arcs of edges: both ways, duplicates and self-loops kept, or as they are if directed. One pass over the edges."""
     if directed:
@@ -29,7 +33,14 @@ def domain(edges: DataFrame) -> DataFrame:
 
 
 def vertices(edges: DataFrame) -> DataFrame:
-    return edges.sparkSession.range(size_of(edges)[0])
+    """id of every vertex from 0 to the greatest one, worked out inside the plan: a query that uses the edges again shares their shuffle.
+
+    Blocks of ids are dealt to shuffle partitions before they are spelled out.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _BLOCK))).alias("block")
+    blocks = domain(edges).where("n > 0").select("n", block).repartition(parts, "block")
+    return blocks.select(F.explode(F.sequence(F.col("block") * _BLOCK, F.least((F.col("block") + 1) * _BLOCK, F.col("n")) - 1)).alias("id"))
 
 
 def degrees(ids: DataFrame, arcs: DataFrame) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.scalars import draw, fraction
+from weftgraph.plans.lineage import cut
 from weftgraph.plans.ranking import sums_before
 
 
 def mirrored(coo: DataFrame, kind: str = "symmetric") -> DataFrame:
-    """A whole matrix from one triangle; skew matrices are negated across the diagonal."""
+    """A whole matrix from one triangle; skew matrices are negated across the diagonal, Hermitian ones conjugated (im: imaginary parts)."""
     if kind == "general":
         return coo
-    sign = -1 if kind == "skew-symmetric" else 1
-    return coo.unionByName(coo.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v")))
+    sign = {"v": -1 if kind == "skew-symmetric" else 1, "im": -1 if kind in ("skew-symmetric", "hermitian") else 1}
+    values = [(F.col(c) * sign[c]).alias(c) for c in ("v", "im") if c in coo.columns]
+    return coo.unionByName(coo.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), *values))
 
 
 def sorted_coo(coo: DataFrame) -> DataFrame:
@@ -44,6 +49,23 @@ def spmv(coo: DataFrame, x: DataFrame, rows: DataFrame, alpha: float = 1.0, y: D
     return out.join(y.select("i", F.col("y").alias("old")), "i", "left").select("i", (F.col("p") + beta * F.coalesce("old", F.lit(0.0))).alias("y"))
 
 
+def vector(spark: SparkSession, n: int, seed: int | None = None) -> DataFrame:
+    """j, x: n ones, or, with a seed, numbers in [-1, 1) drawn for each place."""
+    x = F.lit(1.0) if seed is None else fraction(draw(F.col("id"), 0, 0, seed)) * 2 - 1
+    return spark.range(n).select(F.col("id").alias("j"), x.alias("x"))
+
+
+def timed_products(coo: DataFrame, x: DataFrame, rows: DataFrame, times: int = 1000) -> DataFrame:
+    """times, seconds: how long so many products take together, after one that isn't counted. coo and x are read from a checkpoint each time."""
+    coo, x = cut(coo), cut(x)
+    began = 0.0
+    for k in range(times + 1):
+        began = time.perf_counter() if k == 1 else began
+        spmv(coo, x, rows).write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - began if times else 0.0
+    return coo.sparkSession.createDataFrame([(times, seconds)], "times int, seconds double")
+
+
 def spy(coo: DataFrame, cells: int, n: int) -> DataFrame:
     """row, col, n: entries in each cell of a cells x cells picture of an n x n matrix."""
     cell = lambda c: F.floor(F.col(c) * cells / n).cast("int")

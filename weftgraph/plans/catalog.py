@@ -17,7 +17,7 @@ from weftgraph.operators import bloom, coarsen, graph, matrix, order, sampling,
 from weftgraph.plans import sizing
 from weftgraph.plans.lineage import cut
 from weftgraph.sources import tables
-from weftgraph.sources.edges import with_lines
+from weftgraph.sources.edges import distinct_ends
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,11 +91,11 @@ def cp_degree(spark, d):
 
 
 def cp_slots(spark, d):
-    """(degree, slots, n) of cp in (src, dst) line order, worked out once."""
-    lined = cut(with_lines(cp(spark, d)))
-    arcs = graph.symmetrize(lined)
-    n, _ = graph.size_of(lined)
-    return cut(graph.degrees(spark.range(n), arcs)), cut(graph.slots(arcs, "line", "side")), n
+    """(degree, slots, n) of cp in (src, dst) line order, worked out once. The pair itself stands for the line, so nothing is numbered first."""
+    edges = cut(cp(spark, d))
+    arcs = graph.symmetrize(edges.withColumn("a", F.col("src")).withColumn("b", F.col("dst")))
+    n, _ = graph.size_of(edges)
+    return cut(graph.degrees(spark.range(n), arcs)), cut(graph.slots(arcs, "a", "b", "side")), n
 
 
 # graph -----------------------------------------------------------------------------------------------------------------
@@ -114,6 +114,11 @@ def g_degree(spark, d):
     return cp_degree(spark, d)
 
 
+@query("SELECT src AS id FROM cp UNION SELECT dst FROM cp", "cp")
+def g_distinct_ends(spark, d):
+    return distinct_ends(cp(spark, d))
+
+
 @query("SELECT deg, count(*) AS n FROM deg GROUP BY deg", "deg")
 def g_degree_hist(spark, d):
     return graph.degree_histogram(cp_degree(spark, d))
@@ -188,6 +193,15 @@ def b_bits(spark, d):
     return bloom.bits(cp_arcs(spark, d))
 
 
+@query(
+    "SELECT p.src, p.dst, x.bit IS NOT NULL AND y.bit IS NOT NULL AS maybe FROM (SELECT src, dst + 1 AS dst FROM cp) p LEFT JOIN bits x ON x.id = p.src AND x.bit = ((p.dst * 37 + 1013) % 128)::INT LEFT JOIN bits y ON y.id = p.src AND y.bit = ((p.dst * 151 + 229) % 128)::INT",
+    "cp bits",
+)
+def b_may_have(spark, d):
+    edges = cp(spark, d)
+    return bloom.may_have(edges.select("src", (F.col("dst") + 1).alias("dst")), bloom.signatures(graph.symmetrize(edges)))
+
+
 @query("SELECT id, bits FROM pop", "pop")
 def b_popcount(spark, d):
     return bloom.popcounts(bloom.signatures(cp_arcs(spark, d)))
@@ -298,6 +312,7 @@ def o_rcm(spark, d):
     return order.reverse_cuthill_mckee(tables.part_supplier(spark, d))
 
 
+# Fixed values in the SQL of this file: the hash lines and bits of a signature and the grid's axes, as functions/scalars.py and config.py have them.
 # matrices --------------------------------------------------------------------------------------------------------------
 def x_of(rows: DataFrame, name: str = "j") -> DataFrame:
     return rows.select(F.col(name).alias("j"), (F.col(name) % 7 - 3).cast("double").alias("x"))
@@ -308,6 +323,11 @@ def row_ids(spark, d, of: str = "i") -> DataFrame:
     return spark.range(0 if n is None else n + 1)
 
 
+@query(f"SELECT range AS j, round({sc.draw_sql('range', seed=3)}::DOUBLE / {float(P)} * 2 - 1, 9) AS x FROM range((SELECT count(*) FROM part))")
+def m_vector(spark, d):
+    return matrix.vector(spark, tables.table(spark, d, "part").count(), 3).select("j", F.round("x", 9).alias("x"))
+
+
 @query("SELECT i, j, v, row_number() OVER (ORDER BY i, j) - 1 AS rank FROM mtx", "mtx")
 def m_coo_sorted(spark, d):
     from weftgraph.plans.ranking import global_rank
@@ -442,22 +462,25 @@ def p_hop(spark, d):
     return sampling.neighbours(placed, degree)
 
 
-@query(f"SELECT h.src, slot.dst FROM hop h JOIN deg ON deg.id = h.dst JOIN slot ON slot.src = h.dst AND pos = {sc.draw_sql('h.src', k='1')} % deg.deg", "hop")
+@query(
+    "SELECT asked.src, slot.dst FROM asked JOIN slot ON slot.src = asked.mid AND slot.pos = asked.pos", "hop",
+    f"asked AS MATERIALIZED (SELECT h.src, h.dst AS mid, {sc.draw_sql('h.src', k='1')} % deg.deg AS pos FROM hop h JOIN deg ON deg.id = h.dst)",
+)
 def p_wedge(spark, d):
     degree, placed, _ = cp_slots(spark, d)
     return sampling.wedges(placed, degree)
 
 
-ALPHA, STEPS = 50, 6
+ALPHA = 50
 
 
 @query(
-    "SELECT w.src, w.node AS dst, k AS steps FROM walk w WHERE k > 0 AND (k = 6 OR NOT r % 101 < 50)", "deg slot",
-    f"walk AS (SELECT id AS src, id AS node, 0 AS k, {sc.draw_sql('id')} AS r FROM deg WHERE deg > 0 UNION ALL SELECT w.src, slot.dst, w.k + 1, {sc.draw_sql('w.src', k='w.k + 1')} FROM walk w JOIN deg ON deg.id = w.node JOIN slot ON slot.src = w.node AND pos = w.r % deg.deg WHERE w.k < {STEPS} AND w.r % 101 < {ALPHA})", True,
+    f"SELECT w.src, w.node AS dst, k AS steps FROM walk w WHERE k > 0 AND NOT r % 101 < {ALPHA}", "deg slot",
+    f"walk AS (SELECT id AS src, id AS node, 0 AS k, {sc.draw_sql('id')} AS r FROM deg WHERE deg > 0 UNION ALL SELECT w.src, slot.dst, w.k + 1, {sc.draw_sql('w.src', k='w.k + 1')} FROM walk w JOIN deg ON deg.id = w.node JOIN slot ON slot.src = w.node AND pos = w.r % deg.deg WHERE w.r % 101 < {ALPHA})", True,
 )
 def p_ppr(spark, d):
     degree, placed, _ = cp_slots(spark, d)
-    return sampling.pagerank_walks(placed, degree, ALPHA, max_steps=STEPS)
+    return sampling.pagerank_walks(placed, degree, ALPHA)
 
 
 @query(f"SELECT id AS src, k::INT AS k, {sc.draw_sql('id', k='k + 100')} % (SELECT count(*) FROM vert) AS dst FROM vert, range(3) AS r(k)", "vert")
@@ -521,12 +544,38 @@ def c_project(spark, d):
     return made.select("id", F.posexplode("vec").alias("k", "x")).select("id", "k", F.round("x", 6).alias("x"))
 
 
-@query()
-def c_match(spark, d):
+def match_sql(cap: int) -> str:
+    """The sequential rule on ps: a step for each vertex in order; what is gone is carried along."""
+    return ", ".join([
+        "parcs AS MATERIALIZED (SELECT src, dst FROM ps UNION ALL SELECT dst, src FROM ps)",
+        "pdeg AS MATERIALIZED (SELECT src AS id, count(*) AS deg FROM parcs GROUP BY src)",
+        "plow AS MATERIALIZED (SELECT id FROM pdeg WHERE deg < (SELECT count(*) FROM parcs) // (SELECT max(src) + 1 FROM parcs) + 1)",
+        "pnear AS MATERIALIZED (SELECT src AS id, list(dst ORDER BY dst) AS near FROM (SELECT DISTINCT src, dst FROM parcs WHERE src <> dst AND dst IN (SELECT id FROM plow)) GROUP BY src)",
+        "pord AS MATERIALIZED (SELECT d.id, row_number() OVER (ORDER BY deg DESC, d.id DESC) AS r, coalesce(near, []) AS near FROM pdeg d LEFT JOIN pnear n ON n.id = d.id)",
+        "g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS gone, []::BIGINT[] AS picks UNION ALL SELECT r, list_concat(gone, picks), picks FROM (SELECT o.r, g.gone, CASE WHEN list_contains(g.gone, o.id) THEN [] "
+        f"ELSE list_concat([o.id], list_filter(o.near, lambda x: NOT list_contains(g.gone, x))[1:{cap}]) END AS picks FROM g JOIN pord o ON o.r = g.r + 1))",
+    ])
+
+
+MATCHED = "SELECT unnest(picks) AS id, super FROM (SELECT picks, row_number() OVER (ORDER BY r) - 1 AS super FROM g WHERE len(picks) > 0)"
+
+
+def matched(spark, d, cap: int | None) -> DataFrame:
     edges = tables.part_supplier(spark, d)
     arcs = cut(graph.symmetrize(edges))
     degree = cut(graph.degrees(graph.vertices(edges), arcs))
-    return coarsen.cluster_ids(cut(coarsen.match(arcs, degree)), degree)
+    made = coarsen.match(arcs.withColumn("pos", F.col("dst")), degree, cap, task_offers=0)  # by rounds alone
+    return coarsen.cluster_ids(cut(made), degree)
+
+
+@query(MATCHED, "ps", match_sql(10**9), True)
+def c_match(spark, d):
+    return matched(spark, d, None)
+
+
+@query(MATCHED, "ps", match_sql(3), True)
+def c_match_capped(spark, d):
+    return matched(spark, d, 3)
 
 
 @query()
@@ -588,6 +637,13 @@ def t_part_pair_epoch(spark, d):
     return long_form(train.part_pair_epoch(train.initial(spark.range(n), 4), positive, n, 3, 3, 0.025, 4, math.log(n), math.log(n / 3)))
 
 
+@query()
+def t_embed_spread(spark, d):
+    """An epoch of each level without one-task training, so the distributed plan itself."""
+    emb, _ = train.embed(tables.part_supplier(spark, d), EmbedConfig(epochs=1, dimension=16, scale_epochs=False), task_cells=0)
+    return emb
+
+
 @query()
 def t_embed(spark, d):
     emb, _ = train.embed(tables.part_supplier(spark, d), EmbedConfig(epochs=6, dimension=16))

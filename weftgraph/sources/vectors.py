@@ -6,10 +6,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.order import edge_distances
+from weftgraph.sources.binary import BLOCK_BYTES, by_ranges, files_of, join_pieces, read_range, spans, write_pieces
+from weftgraph.sources.lines import after, first_line, read_lines
+
 
 def stem_path(path: str, suffix: str) -> str:
     """path with `suffix` before its extension, or at its end if it has none."""
@@ -32,30 +36,41 @@ def write_sorted_text(emb: DataFrame, path: str, dimension: int) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """id, vec of a text file; the header, which has two fields, is left out unless vectors have one component and it is the first line."""
+    """id, vec of a text file, or of a folder of part files; the first line of the first file by name is the header and left out."""
     part = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("value <> ''")
-    first = rows.agg(F.min("line")).first()[0]
-    return rows.where(F.col("line") > F.lit(first)).select(part[0].cast("long").alias("id"), F.transform(F.slice(part, F.lit(2), F.size(part) - 1), lambda x: x.cast("double")).alias("vec"))
+    lines = read_lines(spark, path).where("value <> ''")
+    head = first_line(lines)
+    rows = lines.where(after(head[1])) if head else lines
+    return rows.select(part[0].cast("long").alias("id"), F.transform(F.slice(part, F.lit(2), F.size(part) - 1), lambda x: x.cast("double")).alias("vec"))
+
+
+def _components(batch: pa.RecordBatch) -> bytes:
+    return np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False), "<f4").tobytes()
 
 
 def write_binary(emb: DataFrame, path: str, n: int, dimension: int) -> None:
-    """One local file: two 32-bit sizes, then n rows of 32-bit floats by id; the driver holds one partition at a time."""
-    with open(path, "wb") as out:
-        out.write(np.array([n, dimension], "<i4").tobytes())
-        for row in emb.orderBy("id").toLocalIterator():
-            out.write(np.array(row["vec"], "<f4").tobytes())
+    """One file: two 32-bit sizes, then n rows of 32-bit floats by id, from pieces that the executors write."""
+    join_pieces(path, np.array([n, dimension], "<i4").tobytes(), write_pieces(emb.orderBy("id").select("vec"), _components))
+
+
+def write_sorted_binary(emb: DataFrame, path: str, n: int, dimension: int) -> None:
+    """As write_binary(), by the first coordinate, descending, ties by id."""
+    join_pieces(path, np.array([n, dimension], "<i4").tobytes(), write_pieces(emb.orderBy(F.desc(F.element_at("vec", 1)), "id").select("vec"), _components))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                n, d = np.frombuffer(content, "<i4", 2)
-                rows = np.frombuffer(content, "<f4", int(n) * int(d), 8).reshape(n, d).astype(float)
-                yield pd.DataFrame({"id": np.arange(n), "vec": list(rows)})
+    """id, vec; id is the place in the file. Read by ranges of rows."""
+    ranges = []
+    for file in files_of(path):
+        n, d = (int(x) for x in np.frombuffer(read_range(file, 0, 8), "<i4"))
+        ranges += [(file, a, b, d) for a, b in spans(n, max(1, BLOCK_BYTES // (4 * max(1, d))))]
+
+    def run(span: tuple) -> Iterator[pa.RecordBatch]:
+        file, first, last, d = span
+        flat = np.frombuffer(read_range(file, 8 + 4 * d * first, 4 * d * (last - first)), "<f4").astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, d), pa.int32()), pa.array(flat))], ["id", "vec"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id long, vec array<double>")
+    return by_ranges(spark, ranges, run, "id long, vec array<double>")
 
 
 def write_cut(before: int, after: int, path: str) -> None:
@@ -64,6 +79,12 @@ def write_cut(before: int, after: int, path: str) -> None:
         out.write(f"{before}\n{after}\n")
 
 
+def write_sorted_adjacency(edges: DataFrame, emb: DataFrame, path: str) -> None:
+    """`src dst` lines of the edges by the L1 distance of their ends, nearest first, ties by src and dst."""
+    lines = edge_distances(edges, emb).orderBy("dist", "src", "dst")
+    lines.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value")).write.text(path)
+
+
 # Fixed value: how parameters are written into a result's file name.
 RESULT_NAME = r"output(\d+)_pos(\d+)_alpha([\d.]+)_neg(\d+)_lr([\d.]+)_sm(\d)_bloom(\d)_CUT\.txt$"
 
