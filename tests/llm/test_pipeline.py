@@ -41,3 +41,26 @@ def test_empty(spark, tmp_path):
     docs = spark.read.parquet(f"{D}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, D).count() == 0
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with the operators' own names."""
+    text = "the quick brown fox jumps over the lazy dog and then the fox goes home to the old house"
+    long = " ".join(f"word{i}" for i in range(50_000))
+    rows = [(i, f"{text} number {i} of many {i * i}", "en", "a", 1) for i in range(30)]
+    rows += [(None, text, "en", None, None), (100, None, None, None, None), (101, "", "en", "a", 0), (102, long, "en", "a", 9), (103, text, None, "b", 1), (103, text, None, "b", 1), (104, "12 34", "de", "b", 1)]
+    names = ["__key", "__mark", "__e", "__n", "__cdf", "__live", "copy", "shuffle_key", "lang_id", "lang_p", "lang_accepted", "k", "ids", "node"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, *[r[0]] * len(names)) for r in rows], ", ".join([schema, *(f"{n} long" for n in names)]))
+    kept = {"language ID": {None, 102, 103, *range(30)}}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, D)
+        assert made.columns == docs.columns, name
+        found = made.collect()
+        assert all(r[n] == r.doc_id for r in found for n in names), name
+        assert {r.doc_id for r in found} == kept.get(name, {r.doc_id for r in found}), name
+        assert name.startswith("mixing") or any(r.doc_id == 102 and r.text == long for r in found), name
+    encoded = corpus_pipeline.STAGES[4][1](spark, docs, D).collect()
+    assert len(encoded) == len(rows) and {r.doc_id: r.n_tokens for r in encoded}[100] == 0
+    one = corpus_pipeline.STAGES[1][1](spark, docs, D).collect()
+    assert sum(r.doc_id == 103 for r in one) == 1 and {100, 101, None} <= {r.doc_id for r in one}

@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weftgraph.llm import components, vector_graph
-from weftgraph.llm.components import connected_components
+from weftgraph.llm import vector_graph
 
 
 def by_brute_force(rows):
@@ -64,29 +64,8 @@ def test_hubs_are_pruned(spark):
 
 def test_audit(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    df = df.unionByName(df.withColumn("vec_id", F.col("vec_id") + 100_000))
     assert vector_graph.audited(df).count() == df.count()
     monkeypatch.setattr(vector_graph, "near_vectors", lambda rows, **_: rows.selectExpr("vec_id", "0L n_links", "vec_id component_id", "true kept"))
     with pytest.raises(RuntimeError):
         vector_graph.audited(df)
-
-
-def test_components(spark, monkeypatch):
-    draw = np.random.default_rng(5)
-    edges = [(int(a), int(b)) for a, b in draw.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 1)]
-    label = {}
-    near = {}
-    for a, b in edges:
-        if a is not None:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    for a in sorted(near):
-        ahead = [a] if a not in label else []
-        while ahead:
-            n = ahead.pop()
-            if n not in label:
-                label[n] = a
-                ahead += near[n]
-    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.component for r in got} == label and len(got) == len(label)
-    monkeypatch.setattr(components, "TASK_LINKS", 50)
-    assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == label

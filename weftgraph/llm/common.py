@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,21 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.lineage import cut, shared_dir  # noqa: F401
+
 #: Bytes of text handled at once in a Python worker; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 19
 #: ASCII white space, the separators of words.
 SPACES = b" \t\n\r\x0b\x0c"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="weft_shared_")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,15 +42,6 @@ def drop_at_exit(spark: SparkSession, path: str, name: str | None = None) -> Non
     atexit.register(run)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    at = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint(eager=True)
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than one row beyond that from each partition."""
     return df.limit(rows + 1).count() <= rows
@@ -176,6 +159,12 @@ def shingles_of(rows: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndar
     return out_rows, out
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names under others, and what to rename to have them back."""
+    held = {c: fresh_name(df, c) for c in df.columns if c in names}
+    return df.withColumnsRenamed(held), {v: k for k, v in held.items()}
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed public tokenizer file `name` is, on whichever machine asks."""
     import public_tokenizers

@@ -147,13 +147,15 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int =
     """df and lang_id (language, null if unknown), lang_p (its posterior), lang_accepted; those names replace columns of df.
 
     labelled: rows to learn from (df if None), with id_col, text_col and lang_col. declared_col: the language that a row
-    declares; suffix_col: the suffix of its address; host_col: its host, whose domain is what follows the first dot.
+    declares, which must not be the label that was learned from, as the text's likelihood has that already; suffix_col: the suffix of its address; host_col: its host, whose domain is what follows the first dot.
     A row is accepted if it has letters and its posterior is at least `least`. Evidence that is null, and a declared
     language that the model doesn't know, say nothing. Host and suffix counts are of the languages that texts alone favour,
     over all rows, each combined before its shuffle; a host seen once leans on its domain and on all rows.
 
-    One row for each input row, repeated ones too; a null or empty text has no letters and isn't accepted; an empty
-    table, or no labelled row, gives null languages, none accepted.
+    One row for each input row, repeated ones too; a null or empty text has no letters and isn't accepted; very long
+    texts count whole, damped to INDEPENDENT runs; of languages with the same posterior the one met in most labelled
+    rows is taken; an empty table, or no labelled row, gives null languages, none accepted; other columns, whatever
+    their names, stay.
     """
     own = [c for c in df.columns if c not in ("lang_id", "lang_p", "lang_accepted")]
     e, host_key, prior, overall_prior, suffix_key, ratio_of, log, most = (fresh_name(df, x) for x in ("e", "host", "prior", "overall", "suffix", "ratio", "log", "max"))
@@ -207,7 +209,11 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, train_rows: int =
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, **options) -> DataFrame:
-    """page_id, url, lang_id, lang_p and lang_accepted of web pages: visible text, declared language, suffix and host of each."""
+    """page_id, url, lang_id, lang_p and lang_accepted of web pages: visible text, declared language, suffix and host of each.
+
+    Null addresses and markup say nothing, a page without visible letters isn't accepted; repeated rows, long pages, empty
+    tables and other columns as in identify().
+    """
     host = host_of(F.col("url"))
     rows = pages.select("page_id", "url", text_of(F.col("html")).alias("text"), declared_in(F.col("html")).alias("declared"), host.alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
     return identify(rows, labelled, host_col="host", declared_col="declared", suffix_col="suffix", **options).select("page_id", "url", "lang_id", "lang_p", "lang_accepted")

@@ -60,8 +60,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return identify(docs, declared_col="lang").select("doc_id", "lang_id", "lang_p", "lang_accepted")
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "lang_id", "lang_p", "lang_accepted")
 
 
 def op10_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import arrow_rows, shared_dir, tokenizer_path
 from weftgraph.llm.word_table import _SYMBOLS, tokenizer
+from weftgraph.sources.binary import at_path
 
 #: Distinct words whose ids a worker keeps before it starts afresh, and characters of a word that is kept, which together bound its memory.
 KEPT_WORDS, KEPT_LENGTH = 200_000, 64
@@ -34,11 +35,6 @@ PART_BYTES = 256 << 20
 READ_ROWS, READ_BYTES = 4096, 8 << 20
 
 
-def at_path(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI, or of a local path."""
-    return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else "file://" + path)
-
-
 class Mapped:
     """A file's integers by range: memory-mapped where it is local, else read range by range."""
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bytes_of, drop_at_exit, shared_dir, tidy, tokenizer_path
+from weftgraph.llm.common import arrow_rows, bytes_of, drop_at_exit, shared_dir, tidy, tokenizer_path
 
 #: Words of a chunk of documents, and their bytes, after which another chunk begins.
 CHUNK_WORDS, CHUNK_BYTES = 6_000_000, 48 << 20
@@ -228,7 +228,8 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id
     folder = f"{shared_dir(spark).rstrip('/')}/{name_of}"
     drop_at_exit(spark, folder, name_of)
     written = coded(split, min(BUCKETS_EACH * parts, MOST_BUCKETS)).write.format("parquet").option("compression", "zstd").option("path", folder)
-    written.bucketBy(parts, "chunk").saveAsTable(name_of)
+    with arrow_rows(spark, 2000):
+        written.bucketBy(parts, "chunk").saveAsTable(name_of)
     rows = spark.table(name_of)
     return positioned(rows.where(F.col("kind") == DOCUMENT).select("chunk", "seq", "ks", "lens", "data"), word_ids(rows.where(F.col("kind") < DOCUMENT), name).select("chunk", "data"))
 
