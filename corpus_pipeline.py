@@ -7,14 +7,13 @@ twice and a lost executor costs no more than its own stage.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bagminhash import deduplicate
-from weftgraph.llm.common import shared_dir
+from weftgraph.llm.common import drop, drop_at_exit, set_aside, shared_dir
 from weftgraph.llm.language import identify
 from weftgraph.llm.mixing import replicate, tempered_rates
 from weftgraph.llm.secrets import redact
@@ -22,27 +21,50 @@ from weftgraph.llm.word_table import decode, encode
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters or with a posterior under one half go."""
-    return identify(docs, declared_col="lang").where("lang_accepted").select(*docs.columns)
+    """Documents whose language is known; those without letters or with a posterior under one half go.
+
+    Learned from the languages of all documents, judged by text and source. Null and empty texts go; null ids, sources
+    and languages are no reason to go; repeated rows are judged alike; very long texts count whole; an empty table stays
+    empty; extra columns of any name stay.
+    """
+    held, back = set_aside(docs, ("lang_id", "lang_p", "lang_accepted"))
+    return identify(held).where("lang_accepted").select(*held.columns).withColumnsRenamed(back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the least id."""
+    """One document of each class of near-duplicates: the one with the least id.
+
+    Rows with a null id or without a word stay; of rows that repeat both id and text one stays; very long texts are
+    compared whole; an empty table stays empty; extra columns of any name stay.
+    """
     return deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, live-looking credentials masked in their texts."""
+    """All documents, live-looking credentials masked in their texts.
+
+    A null text stays null, a null source is one owner; repeated rows are masked alike; very long texts are scanned
+    whole; an empty table stays empty; extra columns of any name stay.
+    """
     return redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources have their target shares, in a global random order."""
-    return replicate(docs, tempered_rates(docs)).select(*docs.columns)
+    """Documents repeated or left out so that sources have their target shares, in a global random order.
+
+    A null source is a source; rows without an id are drawn by their text; repeated rows are repeated alike; very long
+    texts go with their rows; an empty table stays empty; extra columns of any name stay.
+    """
+    held, back = set_aside(docs, ("copy", "shuffle_key"))
+    return replicate(held, tempered_rates(held)).select(*held.columns).withColumnsRenamed(back)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and the hash of the decoded text of each document."""
+    """doc_id, ids, n_tokens and the hash of the decoded text of each document.
+
+    A null id stays null, a null or empty text has no ids; repeated rows stay; very long texts are encoded whole; an
+    empty table gives none; extra columns, whatever their names, are left out.
+    """
     return decode(encode(docs)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
@@ -58,26 +80,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        _drop(spark, path)
-    except Exception:  # the session may be gone; the folder is then left to whoever clears the shared one
-        return
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root, before = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
+    drop_at_exit(spark, root)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
         docs = spark.read.parquet(f"{root}/{k}")
         if before:
-            _drop(spark, before)
+            drop(spark, before)
         before = f"{root}/{k}"
-    atexit.register(_drop_at_exit, spark, root)
     return docs
