@@ -1,5 +1,6 @@
 """Hand-worked values on a small graph, sources and sinks, samplers and training."""
 
+import io
 import math
 import random
 
@@ -76,6 +77,66 @@ def test_cuts_and_orders(tiny, spark):
     assert [tuple(r) for r in order.pair_lattice(spark, 3).orderBy("pair").collect()] == [(0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 2, 0), (4, 2, 1), (5, 2, 2)]
 
 
+def plain_rcm(pairs):
+    """id -> rank by a queue, one component after the other."""
+    near = {x: set() for p in pairs for x in p}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    key, out = lambda v: (len(near[v]), v), []
+    for start in sorted(near, key=key):
+        if start in out:
+            continue
+        level = [start]
+        while level:
+            out += level
+            via = {}
+            for k, v in enumerate(level):
+                for u in near[v]:
+                    if u not in out:
+                        via.setdefault(u, k)
+            level = sorted(via, key=lambda u: (via[u], *key(u)))
+    return {v: len(out) - 1 - k for k, v in enumerate(out)}
+
+
+def test_reverse_cuthill_mckee_by_brute_force(spark):
+    draw = random.Random(6)
+    pairs = [(draw.randrange(80), draw.randrange(80)) for _ in range(70)]
+    got = {r.id: r["rank"] for r in order.reverse_cuthill_mckee(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == plain_rcm(pairs)
+
+
+def fill_in(pairs, rank):
+    """Entries that elimination in an order adds."""
+    near = {v: set() for v in rank}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    added = 0
+    for v in sorted(rank, key=rank.get):
+        later = {u for u in near[v] if rank[u] > rank[v]}
+        for u in later:
+            added += len(later - near[u] - {u})
+            near[u] |= later - {u}
+    return added // 2
+
+
+def test_minimum_degree_and_pictures(spark):
+    grid = [(10 * i + j, 10 * (i + k) + j + 1 - k) for i in range(10) for j in range(10) for k in (0, 1) if i + k < 10 and j + 1 - k < 10]
+    edges = spark.createDataFrame(grid, "src long, dst long")
+    rank = {r.id: r["rank"] for r in order.minimum_degree(edges).collect()}
+    assert sorted(rank.values()) == list(range(100))
+    assert fill_in(grid, rank) < 0.6 * fill_in(grid, {v: v for v in range(100)})
+    star = spark.createDataFrame([(5, k) for k in (0, 1, 2, 3)], "src long, dst long")
+    assert [r.id for r in order.minimum_degree(star).orderBy("rank").collect()][:3] == [0, 1, 2]
+    by_id = spark.range(100).select("id", F.col("id").alias("rank"))
+    made = matrix.spy_orders(edges, {"id": by_id, "rcm": order.reverse_cuthill_mckee(edges), "degree": order.minimum_degree(edges)}, 5, 100).collect()
+    assert {r.ordering for r in made} == {"id", "rcm", "degree"}
+    assert all(sum(r.n for r in made if r.ordering == o) == 2 * len(grid) for o in ("id", "rcm", "degree"))
+    assert all(abs(r.row - r.col) <= 1 for r in made if r.ordering != "degree")
+
+
 def test_coarsening(tiny, spark):
     _, arcs, degree, placed = tiny
     for cap, want, task in ((0, [4, 5, 1, 3, 2, 0, 6], 0), (1, [4, 1, 1, 3, 2, 0, 0], 0), (1, [4, 1, 1, 3, 2, 0, 0], 100)):
@@ -179,7 +240,7 @@ def test_matrix(tiny, spark):
     assert matrix.is_sorted(lined).first()[0] and not matrix.is_sorted(lined.withColumn("line", -F.col("line"))).first()[0]
 
 
-def test_matrix_market(spark, tmp_path):
+def test_matrix_market(spark, tmp_path, monkeypatch):
     text = tmp_path / "a.mtx"
     text.write_text("%%MatrixMarket matrix coordinate integer skew-symmetric\n% note\n3 3 2\n2 1 5\n3 2 7\n")
     coo, kind, sizes = mm.read_matrix(spark, str(text))
@@ -206,6 +267,8 @@ def test_matrix_market(spark, tmp_path):
     with pytest.raises(mm.MatrixMarketError):
         mm.read_matrix(spark, str(text))
     assert lists(mm.read_matrix(spark, str(text), strict=False)[0], "i", "j", "v") == [(0, 1, 4.0)]
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"%%MatrixMarket matrix coordinate real general\n2 2 1\n2 1 3.5\n")))
+    assert lists(mm.read_matrix(spark, "-")[0], "i", "j", "v") == [(1, 0, 3.5)]
     assert not mm.Kind(format="array", field="pattern").valid and not mm.Kind(symmetry="hermitian").valid
 
 

@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = cut(found.unionByName(found.select("component").distinct().select(F.col("component").alias("node"), "component")))
+    # dealt anew, as the rounds leave few partitions
+    found = cut(found.unionByName(found.select("component").distinct().select(F.col("component").alias("node"), "component")).repartition("node"))
     alone = named.where("u = v").select(F.col("u").alias("node")).join(found.select("node"), "node", "left_anti")
     return found.unionByName(alone.select("node", F.col("node").alias("component")))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.scalars import draw, fraction
+from weftgraph.operators.graph import symmetrize
+from weftgraph.operators.order import relabel
 from weftgraph.plans.lineage import cut
 from weftgraph.plans.ranking import sums_before
 
@@ -70,3 +73,9 @@ def spy(coo: DataFrame, cells: int, n: int) -> DataFrame:
     """row, col, n: entries in each cell of a cells x cells picture of an n x n matrix."""
     cell = lambda c: F.floor(F.col(c) * cells / n).cast("int")
     return coo.groupBy(cell("i").alias("row"), cell("j").alias("col")).agg(F.count("*").alias("n"))
+
+
+def spy_orders(edges: DataFrame, orders: dict[str, DataFrame], cells: int, n: int) -> DataFrame:
+    """ordering, row, col, n: the picture of the edges (both ways) under each vertex order (id, rank)."""
+    made = [spy(symmetrize(relabel(edges, ranked)).select(F.col("src").alias("i"), F.col("dst").alias("j")), cells, n).select(F.lit(name).alias("ordering"), "row", "col", "n") for name, ranked in orders.items()]
+    return reduce(DataFrame.unionByName, made)

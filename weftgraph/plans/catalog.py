@@ -519,7 +519,13 @@ def p_walk_pairs(spark, d):
     return sampling.window_pairs(walked(spark, d), 3)
 
 
-@query()
+@query(
+    "SELECT w.id, coalesce(percent, 100)::INT AS percent, coalesce(other, w.id) AS other FROM w LEFT JOIN (SELECT id, percent, other FROM q WHERE id IS NOT NULL) t ON t.id = w.id", "deg",
+    f"{WEIGHTS}, sh AS MATERIALIZED (SELECT id, w::DOUBLE * n / total AS s FROM w, (SELECT count(*) AS n, sum(w)::DOUBLE AS total FROM w)), "
+    "q AS (SELECT (SELECT coalesce(list({'i': id, 's': s} ORDER BY id), []) FROM sh WHERE s < 1) AS u, (SELECT coalesce(list({'i': id, 's': s} ORDER BY id), []) FROM sh WHERE s >= 1) AS o, NULL::BIGINT AS id, 0 AS percent, NULL::BIGINT AS other "
+    "UNION ALL SELECT CASE WHEN s2 < 1 THEN list_append(u[2:], {'i': o[1].i, 's': s2}) ELSE u[2:] END, CASE WHEN s2 >= 1 THEN list_append(o[2:], {'i': o[1].i, 's': s2}) ELSE o[2:] END, u[1].i, floor(100 * u[1].s + 1e-9)::INT, o[1].i "
+    "FROM (SELECT *, o[1].s - (1 - u[1].s) AS s2 FROM q WHERE len(u) > 0 AND len(o) > 0))", True,
+)
 def p_alias(spark, d):
     return sampling.alias_table(sampling.weights(cp_degree(spark, d)))
 
@@ -578,7 +584,30 @@ def c_match_capped(spark, d):
     return matched(spark, d, 3)
 
 
-@query()
+def levels_sql(most: int = 20) -> str:
+    """The rule level by level: match, count the hubs, decide whether the level stays and whether another follows, contract."""
+    config = EmbedConfig()
+    made = ["s0 AS MATERIALIZED (SELECT max(greatest(src, dst)) + 1 AS n, true AS go FROM ps)", "a0 AS MATERIALIZED (SELECT src, dst FROM ps UNION ALL SELECT dst, src FROM ps)"]
+    for k in range(1, most):
+        b, cap = k - 1, f"{k * k} * ((SELECT n FROM s0) // {config.match_ratio})"
+        made += [
+            f"i{k} AS MATERIALIZED (SELECT * FROM a{b} WHERE (SELECT go FROM s{b}))",
+            f"d{k} AS MATERIALIZED (SELECT src AS id, count(*) AS deg FROM i{k} GROUP BY src)",
+            f"l{k} AS MATERIALIZED (SELECT id FROM d{k} WHERE deg < (SELECT count(*) FROM i{k}) // (SELECT n FROM s{b}) + 1)",
+            f"o{k} AS MATERIALIZED (SELECT d.id, row_number() OVER (ORDER BY deg DESC, d.id DESC) AS r, coalesce(near, []) AS near FROM d{k} d LEFT JOIN (SELECT src AS id, list(dst ORDER BY dst) AS near FROM (SELECT DISTINCT src, dst FROM i{k} WHERE src <> dst AND dst IN (SELECT id FROM l{k})) GROUP BY src) n ON n.id = d.id)",
+            f"g{k} AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS gone, []::BIGINT[] AS picks UNION ALL SELECT r, list_concat(gone, picks), picks FROM (SELECT o.r, g.gone, CASE WHEN list_contains(g.gone, o.id) THEN [] ELSE list_concat([o.id], list_filter(o.near, lambda x: NOT list_contains(g.gone, x))[1:{cap}]) END AS picks FROM g{k} g JOIN o{k} o ON o.r = g.r + 1))",
+            f"c{k} AS MATERIALIZED (SELECT unnest(picks) AS id, super FROM (SELECT picks, row_number() OVER (ORDER BY r) - 1 AS super FROM g{k} WHERE len(picks) > 0))",
+            f"k{k} AS MATERIALIZED (SELECT n, b.go AND NOT (n > {config.stop_precision} * was OR n < {config.stop_threshold} AND n <= {config.least_vertices}) AS keep FROM (SELECT count(DISTINCT super) AS n FROM c{k}), (SELECT n AS was, go FROM s{b}) b)",
+            f"a{k} AS MATERIALIZED (SELECT DISTINCT x.super AS src, y.super AS dst FROM i{k} JOIN c{k} x ON x.id = src JOIN c{k} y ON y.id = dst WHERE x.super <> y.super AND (SELECT keep FROM k{k}))",
+            f"s{k} AS MATERIALIZED (SELECT n, keep AND NOT (n < {config.stop_threshold} OR (SELECT count(*) FROM a{k}) = 0) AS go FROM k{k})",
+        ]
+    return ", ".join(made)
+
+
+LEVELS = " UNION ALL ".join(["SELECT 0 AS level, n, (SELECT count(*) FROM a0) AS m FROM s0", *(f"SELECT {k}, n, (SELECT count(*) FROM a{k}) FROM k{k} WHERE keep" for k in range(1, 20))])
+
+
+@query(LEVELS, "ps", levels_sql(), True)
 def c_levels(spark, d):
     found = coarsen.levels(graph.symmetrize(tables.part_supplier(spark, d)), EmbedConfig())
     return spark.createDataFrame([(k, x["n"], x["m"]) for k, x in enumerate(found)], "level int, n long, m long")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.lineage import shared_dir
 from weftgraph.plans.ranking import global_rank
+from weftgraph.sources.binary import BLOCK_BYTES, at_path
 from weftgraph.sources.lines import after, first_line, read_lines
 
 # The words of a banner.
@@ -56,8 +60,8 @@ def parse_banner(line: str, strict: bool = True) -> Kind | None:
 
 
 def _opened(spark: SparkSession, path: str, strict: bool) -> tuple[Kind, tuple[int, ...], DataFrame]:
-    """Kind, sizes, and the lines after the size line. Lines come by the files' names, so folders of part files read as one file."""
-    lines = read_lines(spark, path)
+    """Kind, sizes, and the lines after the size line. Lines come by the files' names, so folders of part files read as one file; - is standard input."""
+    lines = read_lines(spark, stored_input(spark) if path == "-" else path)
     head = first_line(lines)
     kind = (parse_banner(head[0], strict) if head else None) or Kind()
     rest = lines.where(~F.col("value").rlike(r"^\s*(%|$)"))
@@ -70,6 +74,16 @@ def _opened(spark: SparkSession, path: str, strict: bool) -> tuple[Kind, tuple[i
     return kind, sizes, rest.where(after(size[1]))
 
 
+def stored_input(spark: SparkSession) -> str:
+    """Standard input as a file in the shared folder, copied block by block."""
+    path = f"{shared_dir(spark).rstrip('/')}/input-{uuid.uuid4().hex}.mtx"
+    system, at = at_path(path)
+    with system.open_output_stream(at) as out:
+        while block := sys.stdin.buffer.read(BLOCK_BYTES):
+            out.write(block)
+    return path
+
+
 def read_header(spark: SparkSession, path: str, strict: bool = True) -> tuple[Kind, tuple[int, ...]]:
     """Kind and sizes: (rows, columns, entries), or (rows, columns) of a dense array. Without a banner, if not strict, a general real coordinate matrix."""
     return _opened(spark, path, strict)[:2]
