@@ -16,14 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_rows, bytes_of, drop_at_exit, shared_dir, tidy, tokenizer_path
+from weftgraph.llm.common import arrow_rows, bytes_of, drop_at_exit, give_back, shared_dir, tidy, tokenizer_path
 
 #: Words of a chunk of documents, and their bytes, after which another chunk begins.
-CHUNK_WORDS, CHUNK_BYTES = 6_000_000, 48 << 20
+CHUNK_WORDS, CHUNK_BYTES = 3_000_000, 24 << 20
 #: Documents of a chunk in one row of the coded documents, and lists that are decoded at once.
 ROW_DOCUMENTS = 500
 #: Buckets of the distinct-word table for each shuffle partition, and buckets at most.
-BUCKETS_EACH, MOST_BUCKETS = 4, 4096
+BUCKETS_EACH, MOST_BUCKETS = 2, 4096
 #: Kinds of rows of the coded documents: words, whole texts that only the library can split, documents.
 WORD, WHOLE, DOCUMENT = 0, 1, 2
 _CODED = "chunk long, kind int, seq int, ks array<long>, lens array<int>, data binary"
@@ -78,7 +78,7 @@ def split_words(df: DataFrame, path: str) -> DataFrame:
 def packed(*parts: np.ndarray | bytes) -> bytes:
     """Arrays of 32-bit integers, laid out by byte planes, and bytes, as one compressed block."""
     flat = [p if isinstance(p, bytes) else np.ascontiguousarray(p.astype("<u4").view("u1").reshape(-1, 4).T).tobytes() for p in parts]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in flat], "<u8").tobytes() + b"".join(flat))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(p) for p in flat], "<u8").tobytes() + b"".join(flat))
 
 
 def unpacked(block: bytes, kinds: str) -> list:
@@ -109,12 +109,13 @@ def word_rows(chunk: int, kind: int, words: pa.Array, codes: np.ndarray, buckets
 
 
 def chunk_rows(chunk: int, batches: list[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
-    """The rows of a chunk of split documents (k, words, odd): see _CODED. Codes count from the most frequent word."""
+    """The rows of a chunk of split documents (k, words without null lists, odd): see _CODED. Codes count from the most frequent word. Empties `batches`, as a chunk's words take much memory."""
     rows = pa.Table.from_batches(batches).combine_chunks()
+    batches.clear()
     k, listed, odd = (c.chunk(0) for c in rows.columns)
-    listed = listed.fill_null([])
     at = listed.offsets.to_numpy().astype(np.int64)
     met, whole = listed.values.slice(at[0], at[-1] - at[0]).dictionary_encode(), odd.drop_null().dictionary_encode()
+    del rows, listed
     code, lens, at = met.indices.to_numpy(), np.diff(at), at - at[0]
     if len(whole):
         lone = np.flatnonzero(odd.is_valid().to_numpy(zero_copy_only=False))
@@ -122,7 +123,7 @@ def chunk_rows(chunk: int, batches: list[pa.RecordBatch], buckets: int) -> Itera
         lens[lone] = 1
         at = np.concatenate([[0], np.cumsum(lens)])
     total = len(met.dictionary) + len(whole.dictionary)
-    rank = np.empty(total, np.int64)
+    rank = np.empty(total, np.int32)
     rank[np.argsort(-np.bincount(code, minlength=total), kind="stable")] = np.arange(total)
     code = rank[code] if total else code
     for i in range(0, len(k), ROW_DOCUMENTS):
@@ -143,14 +144,14 @@ def coded(split: DataFrame, buckets: int) -> DataFrame:
         for whole in batches:
             for i in range(0, len(whole), ROW_DOCUMENTS):
                 batch = whole.slice(i, ROW_DOCUMENTS)
-                held.append(batch)
-                at = batch.column(1).offsets
-                words += at[-1].as_py() - at[0].as_py()
-                size += sum(pc.sum(pc.binary_length(x)).as_py() or 0 for x in (batch.column(1).flatten(), batch.column(2)))
+                listed = batch.column(1).fill_null([])
+                held.append(pa.RecordBatch.from_arrays([batch.column(0), listed, batch.column(2)], ["k", "words", "odd"]))
+                words += listed.offsets[-1].as_py() - listed.offsets[0].as_py()
+                size += sum(pc.sum(pc.binary_length(x)).as_py() or 0 for x in (listed.flatten(), batch.column(2)))
                 if words >= CHUNK_WORDS or size >= CHUNK_BYTES:
                     for row in chunk_rows(chunk, held, buckets):
                         yield _batch([row])
-                    chunk, held, words, size = chunk + 1, [], 0, 0
+                    chunk, words, size = chunk + 1, 0, 0
         if held:
             for row in chunk_rows(chunk, held, buckets):
                 yield _batch([row])
@@ -195,10 +196,13 @@ def positioned(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, ids: each chunk's documents, their codes replaced by the ids of the words they stand for."""
 
     def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        give_back()  # what the chunk before took
         blocks = [unpacked(b.as_py(), "iii") for b in words["data"]]
         codes, lens, flat = (np.concatenate([np.zeros(0, "<u4"), *(b[c] for b in blocks)]) for c in range(3))
         ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
         lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat.view("<i4"))).take(pa.array(np.argsort(codes)))
+        del blocks, codes, lens, flat, ends
         out = []
         for ks, counts, block in zip(*(documents.sort_by("seq")[c] for c in ("ks", "lens", "data")), strict=True):
             found = lists.take(pa.array(unpacked(block.as_py(), "i")[0]))
