@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import arrow_rows, bytes_of, drop_at_exit, give_back, shared_dir, tidy, tokenizer_path
 
 #: Words of a chunk of documents, and their bytes, after which another chunk begins.
-CHUNK_WORDS, CHUNK_BYTES = 3_000_000, 24 << 20
+CHUNK_WORDS, CHUNK_BYTES = 2_000_000, 16 << 20
 #: Documents of a chunk in one row of the coded documents, and lists that are decoded at once.
 ROW_DOCUMENTS = 500
 #: Buckets of the distinct-word table for each shuffle partition, and buckets at most.
@@ -232,7 +232,7 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id
     folder = f"{shared_dir(spark).rstrip('/')}/{name_of}"
     drop_at_exit(spark, folder, name_of)
     written = coded(split, min(BUCKETS_EACH * parts, MOST_BUCKETS)).write.format("parquet").option("compression", "zstd").option("path", folder)
-    with arrow_rows(spark, 2000):
+    with arrow_rows(spark, 1000):
         written.bucketBy(parts, "chunk").saveAsTable(name_of)
     rows = spark.table(name_of)
     return positioned(rows.where(F.col("kind") == DOCUMENT).select("chunk", "seq", "ks", "lens", "data"), word_ids(rows.where(F.col("kind") < DOCUMENT), name).select("chunk", "data"))
