@@ -20,6 +20,17 @@ from weftgraph.llm.secrets import redact
 from weftgraph.llm.word_table import decode, encode
 
 
+#: Rows of an Arrow batch. The pipeline runs all stages in the same executors, so it bounds what each batch takes of their
+#: memory for its whole session; the operators by themselves leave the setting as they find it.
+ARROW_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without letters or with a posterior under one half go.
 
@@ -27,6 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and languages are no reason to go; repeated rows are judged alike; very long texts count whole; an empty table stays
     empty; extra columns of any name stay.
     """
+    bounded(spark)
     held, back = set_aside(docs, ("lang_id", "lang_p", "lang_accepted"))
     return identify(held).where("lang_accepted").select(*held.columns).withColumnsRenamed(back)
 
@@ -37,6 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id or without a word stay; of rows that repeat both id and text one stays; very long texts are
     compared whole; an empty table stays empty; extra columns of any name stay.
     """
+    bounded(spark)
     return deduplicate(docs)
 
 
@@ -65,6 +78,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id stays null, a null or empty text has no ids; repeated rows stay; very long texts are encoded whole; an
     empty table gives none; extra columns, whatever their names, are left out.
     """
+    bounded(spark)
     return decode(encode(docs)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
