@@ -366,7 +366,8 @@ def judged(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple
     parts = connected_components(found.where("b is not null").select("a", "b"))
     placed = nodes.select("node", "content", "k", "copies").join(links, "node", "left").join(parts, "node", "left")
     placed = cut(placed.select("content", "k", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    least = placed.groupBy("component").agg(F.min("k").alias("class_id"))
+    # cut, so that a join with it can be split where a component is large
+    least = cut(placed.groupBy("component").agg(F.min("k").alias("class_id")))
     return rows.select("k", "shingles", F.when(usable, F.col("content")).alias("content")), placed.join(least, "component").select("content", "component", "class_id", "n_links")
 
 
@@ -401,7 +402,7 @@ def deduplicate(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
     with arrow_rows(df.sparkSession, 1000):
         rows, contents_of = judged(df, threshold, id_col, text_col)
         found = cut(rows.where(F.col("content").isNotNull()).join(contents_of, "content").select("k", "content", "component"))
-    kept_of = found.groupBy("component").agg(F.min(F.struct("k", "content")).alias("kept"))
+    kept_of = cut(found.groupBy("component").agg(F.min(F.struct("k", "content")).alias("kept")))
     again = cut(found.groupBy("k").count().where("count > 1").select("k"))
     gone = cut(found.join(kept_of, "component").where("k <> kept.k").select("k").distinct().join(again, "k", "left_anti"))
     key, mark, text = fresh_name(df, "key"), fresh_name(df, "mark"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
