@@ -29,8 +29,9 @@ _AGREE = THRESHOLD + (1 - THRESHOLD) / 16
 LEAST_AGREED = int(SLOTS * _AGREE - 5 * (SLOTS * _AGREE * (1 - _AGREE)) ** 0.5)
 #: Ids to look texts up by are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Nodes of a bucket that are compared at once.
-BUCKET_BLOCK = 2000
+#: A bucket is cut into blocks of about so many nodes, but into no more than GROUP_BLOCKS of them as long as a block has no
+#: more than BUCKET_MOST.
+BUCKET_BLOCK, BUCKET_MOST = 250, 4000
 #: A group of alike texts is cut into blocks of about so many nodes, but into no more than GROUP_BLOCKS of them, which bounds
 #: the copies of a node's elements, as long as a block's elements take no more than BLOCK_BYTES.
 GROUP_BLOCK, GROUP_BLOCKS, BLOCK_BYTES = 64, 24, 1 << 23
@@ -311,8 +312,8 @@ def alike(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Each node of a bucket is paired with two of it: the one that meets most nodes over all its buckets, which in a group
     of edited copies is the original, and the first in a random order. In a bucket that these stars leave in several
-    components, nodes outside its first node's component are compared with all of the bucket, in blocks of
-    BUCKET_BLOCK; a block returns a forest, not pairs.
+    components, nodes outside its first node's component are compared with all of the bucket, in blocks; a
+    block returns a forest, not pairs.
     """
     met = crowded.groupBy("node").agg(F.sum("n").alias("met"))
     firsts = crowded.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("p1"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("p2"))
@@ -323,7 +324,8 @@ def alike(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     member = cut(crowded.select("key", "node", "p1", "n").join(parts, "node", "left").select("key", "node", "p1", "n", F.coalesce("component", "node").alias("component")))
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("node") == F.col("p1"), F.col("component"))).alias("main")).where("lo <> hi").select("key", "main")
     rows = member.join(mixed, "key").join(nodes.select("node", "slots"), "node").withColumn("query", F.col("component") != F.col("main"))
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("n") / BUCKET_MOST), F.least(F.ceil(F.col("n") / BUCKET_BLOCK), F.lit(GROUP_BLOCKS))).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     # block (qb, tb): the queries of qb against the nodes of tb
     targets = rows.select("key", F.explode(every).alias("qb"), F.col("own").alias("tb"), "node", "component", "slots", (F.col("query") & (F.col("own") == F.col("qb"))).alias("query"))
