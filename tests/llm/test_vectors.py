@@ -41,6 +41,20 @@ def test_group_over_many_shards(spark):
     check(spark, rows, shard_rows=30, most=25)
 
 
+def test_group_is_within_reach():
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(size=(1, 64)) + np.where(np.arange(230)[:, None] < 1, 0.001, 0.1) * draw.normal(size=(230, 64)), draw.normal(size=(1000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = vector_graph.pruned_edges(x, 1)
+    for start in range(230):
+        seen, ahead = {start}, [start]
+        while ahead:
+            ahead = [k for k in np.unique(b[np.isin(a, ahead)]).tolist() if k < 230 and k not in seen]
+            seen |= set(ahead)
+        assert len(seen) == 230
+    assert np.bincount(a).max() <= vector_graph.MOST_DEGREE
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [3.0, 0.0, 0.0]), (None, [1.0, 0.0]), (11, [1e-30, 1e-32])]

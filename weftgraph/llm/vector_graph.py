@@ -22,10 +22,12 @@ SAMPLE_ROWS, MOST_CENTROIDS = 20_000, 4096
 CANDIDATES, DEGREE, RANDOM, ALPHA = 64, 20, 8, 1.2
 #: Edges of a node in a shard at most: one that the reverses of others' edges bring over that is pruned again.
 MOST_DEGREE = 2 * DEGREE
+#: Edges to a node under which the chain of a hub that was pruned again takes it up.
+LEAST_EDGES = DEGREE
 #: Least share of the links found by brute force that the audit of a search accepts.
 LEAST_RECALL = 0.9
-#: Width of the greedy search, medoids it starts from, and how far under the threshold expansion still follows edges.
-BEAM, STARTS, SLACK = 48, 16, 0.04
+#: How far under the threshold a walk still follows edges.
+SLACK = 0.04
 _BLOCK = 256
 #: Bits of a row's role in a shard: a node of its graph, a node at home (links are counted to these), a query.
 NODE, HOME, QUERY = 1, 2, 4
@@ -56,7 +58,8 @@ def pruned_edges(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(from, to) of a graph over the rows of x: each node's nearest and some random nodes, robustly pruned, and the edges' reverses.
 
     Pruning takes the nearest candidate, drops those that are ALPHA times nearer to it than to the node, and goes on.
-    Nodes that the reverses bring over MOST_DEGREE edges are pruned again, so hubs have no more than others.
+    Nodes that the reverses bring over MOST_DEGREE edges are pruned again, so hubs have no more than others, and a chain of
+    what a hub lets go keeps it within reach.
     """
     n = len(x)
     if n < 2:
@@ -88,11 +91,29 @@ def pruned_edges(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.concatenate(source), np.concatenate(target)
     both = np.unique(np.concatenate([a * n + b, b * n + a]))
     a, b = both // n, both % n
-    degree = np.bincount(a, minlength=n)
-    for node in np.flatnonzero(degree > MOST_DEGREE):
-        own = np.flatnonzero(a == node)
-        b[np.setdiff1d(own, own[robust(x, node, b[own])])] = -1
-    return a[b >= 0], b[b >= 0]
+    cuts = np.searchsorted(a, np.arange(n + 1))
+    hubs, lost = [], []
+    for node in np.flatnonzero(np.diff(cuts) > MOST_DEGREE - 2):
+        own = np.arange(cuts[node], cuts[node + 1])
+        gone = np.setdiff1d(own, own[robust(x, node, b[own])])
+        hubs.append(np.full(len(gone), node))
+        lost.append(b[gone])
+        b[gone] = -1
+    a, b = a[b >= 0], b[b >= 0]
+    if not hubs:
+        return a, b
+    # whom hubs let go may have few edges to them left: they hang on their nearest hub, one behind the other
+    hub, node = np.concatenate(hubs), np.concatenate(lost)
+    few = np.bincount(b, minlength=n)[node] < LEAST_EDGES
+    hub, node = hub[few], node[few]
+    dist = 1 - np.einsum("pd,pd->p", x[hub], x[node])
+    order = np.lexsort((dist, node))
+    order = order[np.diff(node[order], prepend=-1) > 0]
+    order = order[np.lexsort((dist[order], hub[order]))]
+    hub, node = hub[order], node[order]
+    before = np.where(np.diff(hub, prepend=-1) > 0, hub, np.roll(node, 1))
+    both = np.unique(np.concatenate([a * n + b, before * n + node]))
+    return both // n, both % n
 
 
 def robust(x: np.ndarray, node: int, cand: np.ndarray) -> list[int]:
@@ -114,52 +135,23 @@ def padded(adjacency: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def greedy(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, cosines) of the BEAM best that a greedy walk from the starts meets, for each query; -1 where there are fewer."""
-    n, rows = len(q), np.arange(len(q))[:, None]
-    seen = np.zeros((n, len(x)), bool)
-    seen[:, starts] = True
-    beam, sim, done = np.full((n, BEAM), -1), np.full((n, BEAM), -2.0), np.ones((n, BEAM), bool)
-    m = min(BEAM, len(starts))
-    beam[:, :m], sim[:, :m], done[:, :m] = starts[:m], q @ x[starts[:m]].T, False
-    while not done.all():
-        open_sim = np.where(done, -3, sim)
-        live = np.flatnonzero(open_sim.max(1) > -3)
-        pick = open_sim[live].argmax(1)
-        done[live, pick] = True
-        to = edges[beam[live, pick]]
-        new = (to >= 0) & ~seen[live[:, None], to]
-        seen[np.broadcast_to(live[:, None], to.shape)[new], to[new]] = True
-        s = np.where(new, np.einsum("brd,bd->br", x[to], q[live]), -2)
-        all_to, all_sim = np.concatenate([beam[live], np.where(new, to, -1)], 1), np.concatenate([sim[live], s], 1)
-        all_done = np.concatenate([done[live], ~new], 1)
-        best = np.argpartition(-all_sim, BEAM - 1, axis=1)[:, :BEAM]
-        beam[live], sim[live], done[live] = (np.take_along_axis(a, best, 1) for a in (all_to, all_sim, all_done))
-    return beam, sim
-
-
 def products(x: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of the nodes with cosine >= threshold, by the cosines of all."""
     return np.nonzero(q @ x.T >= threshold)
 
 
-def in_range(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of the nodes with cosine >= threshold: greedy search, then expansion from what it found as long as nodes are in range.
+def in_range(x: np.ndarray, edges: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of the nodes with cosine >= threshold, for queries that are the nodes `own`: a walk from each query's own node, greedily on through what is in range.
 
     Where that meets many pairs, all are worked out directly.
     """
-    n = len(x)
-    beam, sim = greedy(x, edges, starts, q)
-    near = (beam >= 0) & (sim >= threshold - SLACK)
-    row, node = np.broadcast_to(np.arange(len(q))[:, None], beam.shape)[near], beam[near]
-    seen = np.zeros(len(q) * n, bool)
-    seen[row * n + node] = True
-    cos = np.einsum("pd,pd->p", q[row], x[node])
-    found = [(row * n + node)[cos >= threshold]]
-    at = row * n + node
-    met = len(at)
+    n, q = len(x), x[own]
+    at = np.arange(len(own)) * n + own
+    seen = np.zeros(len(own) * n, bool)
+    seen[at] = True
+    found, met = [at], len(at)
     while len(at):
-        if met * DENSE > len(q) * n:
+        if met * DENSE > len(own) * n:
             return products(x, q, threshold)
         ahead = []
         for i in range(0, len(at), 20_000):
@@ -188,12 +180,6 @@ def joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
         np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def medoids(x: np.ndarray) -> np.ndarray:
-    """The node nearest to all, then those nearest to the centres of a few clusters."""
-    c = np.concatenate([x.mean(0, keepdims=True), centres(x, min(STARTS, len(x)), 3)])
-    return np.array(list(dict.fromkeys((x @ c.T).argmax(0).tolist())))
-
-
 _VECTOR = "array<double>"
 
 
@@ -221,7 +207,8 @@ def build_graph(shards: DataFrame) -> DataFrame:
 def search_graph(shards: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
     """node, links, label: for each query of a shard the copies in range at home there; and, with links null, each node with the least node its shard joins it to.
 
-    Queries that are nodes at home walk the graph; guests are multiplied with the nodes at home.
+    Queries that are nodes at home walk the graph from their own nodes, as a walk from elsewhere need not come to a small
+    group that is far from all else; guests are multiplied with the nodes at home.
     """
 
     def search(table: pa.Table) -> pa.Table:
@@ -248,10 +235,10 @@ def search_graph(shards: DataFrame, graph: DataFrame, threshold: float) -> DataF
                 at = np.searchsorted(node_ids, to)
                 at = at[(at < len(node_ids)) & (node_ids[np.minimum(at, len(node_ids) - 1)] == to)]
                 edges.append(at)
-            matrix, starts = padded(edges), medoids(x)
+            matrix = padded(edges)
             for i in range(0, len(own), _BLOCK):
                 block = own[i : i + _BLOCK]
-                row, node = in_range(x, matrix, starts, x_all[block], threshold)
+                row, node = in_range(x, matrix, np.searchsorted(nodes, block), threshold)
                 found(block, row[inside[node]], nodes[node[inside[node]]])
         if len(home):
             x = x_all[home]
@@ -337,7 +324,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shard_rows: int =
 
     Equal vectors are one node with a count of copies. Nodes go into overlapping shards of their nearest centroids
     (learned from SAMPLE_ROWS rows); each shard builds its robust-pruned graph, adjacency lists are united, and each node
-    is searched in its home shard: greedily from medoids, then by expanding through all nodes in range. In every other
+    is searched in its home shard: from its own node greedily on through all nodes in range. In every other
     shard that may hold a link of it (see roles()) it is a guest, multiplied with the nodes at home there; a link is
     counted where its other node is at home, so once. Every link is verified by its cosine in double precision. Shards
     return counts and a spanning forest, never pairs; components follow from the forests. recall() audits the search.
