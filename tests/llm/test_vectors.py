@@ -55,6 +55,15 @@ def test_group_is_within_reach():
     assert np.bincount(a).max() <= vector_graph.MOST_DEGREE
 
 
+def test_vectors_go_where_links_may_be(spark):
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(size=(900, 64)), draw.normal(size=64) + 0.1 * draw.normal(size=(100, 64))])
+    groups = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "node long, n long, vec array<double>").cache()
+    assert vector_graph.shard(groups, 40, 8, 12_000, 0.95).count() < 1500
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [0.0, 1.0]), (1001, [-0.0, 1.0])]
+    check(spark, rows, shard_rows=40)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [3.0, 0.0, 0.0]), (None, [1.0, 0.0]), (11, [1e-30, 1e-32])]

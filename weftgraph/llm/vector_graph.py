@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import cut
@@ -14,8 +15,10 @@ from weftgraph.operators.components import connected_components
 
 #: Least cosine of a link.
 THRESHOLD = 0.95
-#: Distinct vectors that a shard has on average before overlap, shards that each vector is a node of, and nodes, or queries, of a shard at most before it is split.
-SHARD_ROWS, OVERLAP, SHARD_MOST = 1500, 3, 12_000
+#: Distinct vectors that a shard has at home on average, and nodes of a shard at most before it is split.
+SHARD_ROWS, SHARD_MOST = 1500, 12_000
+#: Visits of a vector's sketch to other shards on average at most, and the cosine from which centroids share a shard.
+MOST_VISITS, NEAR_CENTROIDS = 8, 0.9
 #: Rows that centroids are learned from at most, and centroids at most.
 SAMPLE_ROWS, MOST_CENTROIDS = 20_000, 4096
 #: Neighbours looked at for each node, edges kept by pruning, random nodes offered for long edges, and the factor of pruning.
@@ -26,6 +29,8 @@ MOST_DEGREE = 2 * DEGREE
 LEAST_EDGES = DEGREE
 #: Least share of the links found by brute force that the audit of a search accepts.
 LEAST_RECALL = 0.9
+#: Blocks of about 2,000 queries that the audit asks at most.
+AUDIT_BLOCKS = 2
 #: How far under the threshold a walk still follows edges.
 SLACK = 0.04
 _BLOCK = 256
@@ -75,6 +80,7 @@ def pruned_edges(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         dist = 1 - np.take_along_axis(sim, cand, 1)
         dist[cand == own[:, None]] = np.inf
         there = x[cand]
+        among = np.matmul(there, there.transpose(0, 2, 1))
         for _ in range(DEGREE):
             best = dist.argmin(1)
             rows = np.flatnonzero(np.isfinite(dist[np.arange(len(own)), best]))
@@ -83,7 +89,7 @@ def pruned_edges(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
             picked = cand[rows, best[rows]]
             source.append(own[rows])
             target.append(picked)
-            apart = 1 - np.einsum("bkd,bd->bk", there[rows], x[picked])
+            apart = 1 - among[rows, best[rows]]
             block = dist[rows]
             block[ALPHA * apart <= block] = np.inf
             block[np.arange(len(rows)), best[rows]] = np.inf
@@ -189,26 +195,11 @@ def usable(vec: Column) -> Column:
     return F.coalesce(~F.exists(vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (big > 0), F.lit(False))
 
 
-def build_graph(shards: DataFrame) -> DataFrame:
-    """node, nbrs: the union of the edges that each shard's own graph gives a node. shards: shard, part, block, node, role, vec."""
+def search_graph(shards: DataFrame, threshold: float) -> DataFrame:
+    """node, links, label: for each query of a shard the copies in range at home there; and, with links null, each node with the least node its shard joins it to. shards: shard, part, block, node, n, role, vec.
 
-    def build(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("node")
-        ids = table["node"].to_numpy()
-        a, b = pruned_edges(unit_rows(table["vec"].chunk(0)), int(ids[0]) & 0x7FFFFFFF)
-        cuts = np.searchsorted(a, np.arange(len(ids) + 1))
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids[b], pa.int64()))
-        return pa.table({"node": ids, "nbrs": lists})
-
-    built = shards.where(f"block = 0 and role & {NODE} > 0").groupBy("shard", "part").applyInArrow(build, "node long, nbrs array<long>")
-    return built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-
-
-def search_graph(shards: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
-    """node, links, label: for each query of a shard the copies in range at home there; and, with links null, each node with the least node its shard joins it to.
-
-    Queries that are nodes at home walk the graph from their own nodes, as a walk from elsewhere need not come to a small
-    group that is far from all else; guests are multiplied with the nodes at home.
+    Queries that are nodes walk the shard's graph from their own nodes, as a walk from elsewhere need not come to a small
+    group that is far from all else; those that are nodes of another part are multiplied with the nodes at home.
     """
 
     def search(table: pa.Table) -> pa.Table:
@@ -216,7 +207,7 @@ def search_graph(shards: DataFrame, graph: DataFrame, threshold: float) -> DataF
         ids, role, copies = table["node"].to_numpy(), table["role"].to_numpy(), table["n"].to_numpy()
         x_all = unit_rows(table["vec"].chunk(0))
         nodes, home = np.flatnonzero(role & NODE), np.flatnonzero(role & HOME)
-        own, guests = np.flatnonzero(role & (HOME | QUERY) == HOME | QUERY), np.flatnonzero(role & (HOME | QUERY) == QUERY)
+        own, guests = np.flatnonzero(role & (NODE | QUERY) == NODE | QUERY), np.flatnonzero(role & (NODE | QUERY) == QUERY)
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
         def found(block: np.ndarray, row: np.ndarray, node: np.ndarray) -> None:
@@ -227,15 +218,10 @@ def search_graph(shards: DataFrame, graph: DataFrame, threshold: float) -> DataF
             label = joined_labels(label, block[row], node)
 
         if len(own):
-            x, inside, node_ids = x_all[nodes], role[nodes] & HOME > 0, ids[nodes]
-            lists = table["nbrs"].chunk(0)
-            edges = []
-            for i in nodes:
-                to = np.array(lists[int(i)].as_py() or [], np.int64)
-                at = np.searchsorted(node_ids, to)
-                at = at[(at < len(node_ids)) & (node_ids[np.minimum(at, len(node_ids) - 1)] == to)]
-                edges.append(at)
-            matrix = padded(edges)
+            x, inside = x_all[nodes], role[nodes] & HOME > 0
+            a, b = pruned_edges(x, int(ids[0]) & 0x7FFFFFFF)
+            cuts = np.searchsorted(a, np.arange(len(nodes) + 1))
+            matrix = padded([b[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
             for i in range(0, len(own), _BLOCK):
                 block = own[i : i + _BLOCK]
                 row, node = in_range(x, matrix, np.searchsorted(nodes, block), threshold)
@@ -249,119 +235,169 @@ def search_graph(shards: DataFrame, graph: DataFrame, threshold: float) -> DataF
         linked, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"node": np.concatenate([ids[linked], ids[moved]]), "links": pa.array([*links[linked].tolist(), *[None] * len(moved)], pa.int64()), "label": pa.array([*[None] * len(linked), *ids[label[moved]].tolist()], pa.int64())})
 
-    return shards.join(graph, "node", "left").groupBy("shard", "part", "block").applyInArrow(search, "node long, links long, label long")
+    return shards.groupBy("shard", "part", "block").applyInArrow(search, "node long, links long, label long")
 
 
-def roles(x: np.ndarray, c: np.ndarray, overlap: int, threshold: float) -> np.ndarray:
-    """Bits of the role of each row of x in the shard of each centroid; 0 where it has none.
+def visits(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home (nearest centroid) of each row of x, and whether it visits each centroid.
 
-    The nodes at home in a shard are nearer to its centroid than to any other, so they lie beyond the plane that is
-    equally far from that centroid and the query's own. A query whose angle to the plane is over that of the threshold
-    has no link there; all other shards are searched.
+    The nodes at home with a centroid are nearer to it than to any other, so they lie beyond the plane that is equally
+    far from that centroid and the row's own. A row whose distance to the plane is over `reach` doesn't visit; with the
+    sine of the threshold's angle as reach, none of its links are there.
     """
     sim = x @ c.T
-    order = np.argsort(-sim, axis=1, kind="stable")[:, :overlap]
-    at, home = np.arange(len(x))[:, None], order[:, 0]
+    home = sim.argmax(1)
     size = (c * c).sum(1)
     apart = np.sqrt(np.maximum(size[home][:, None] + size - 2 * (c[home] @ c.T), 0))
-    reach = np.sqrt(max(0.0, 1 - threshold * threshold))
-    role = np.where((threshold <= 0) | (sim[at, home[:, None]] - sim <= reach * apart + 1e-7), QUERY, 0)
-    role[at, order] |= NODE
-    role[at[:, 0], home] |= HOME | QUERY
-    return role
+    return home, sim[np.arange(len(x)), home][:, None] - sim <= reach * apart + 1e-7
 
 
-def shard(groups: DataFrame, shard_rows: int, overlap: int, most: int, threshold: float) -> DataFrame:
-    """shard, part, block, node, n, role, vec: each vector in the shards of its `overlap` nearest centroids of its length, and as a query in all that may hold links of it.
+def learned(sample: list[list[float]], rows: int, shard_rows: int, most_visits: float, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centroids of vectors of one length, the shard of each, and the reach of visits.
 
-    A shard of over `most` nodes or queries is dealt by hash into parts of nodes and blocks of queries; each part meets
-    each block.
+    Centroids that are near each other are one shard, or a large group would be cut into many. The reach is exact if
+    rows of the sample visit no more than most_visits centroids of other shards with it, and is narrowed until then.
+    """
+    x = unit_rows(pa.array(sample, pa.list_(pa.float64())))
+    c = centres(x, max(1, min(-(-rows // shard_rows), MOST_CENTROIDS, len(sample) // 4)))
+    norm = np.sqrt((c * c).sum(1))
+    a, b = np.nonzero(c @ c.T >= NEAR_CENTROIDS * norm[:, None] * norm)
+    owner = joined_labels(np.arange(len(c)), a, b)
+    if threshold <= 0:
+        return c, owner, np.inf
+    reach, some = np.sqrt(max(0.0, 1 - threshold * threshold)), x[:: max(1, len(x) // 1000)]
+    while True:
+        home, to = visits(some, c, reach)
+        row, at = np.nonzero(to & (owner[home][:, None] != owner))
+        if len(row) <= most_visits * len(some):
+            return c, owner, reach
+        reach *= 0.9
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """128 signs of random projections of each row, as two 64-bit integers."""
+    planes = np.random.default_rng(7).normal(size=(x.shape[1], 128))
+    return np.packbits(x @ planes > 0, axis=1).view("<i8")
+
+
+def sketch_bound(threshold: float) -> float:
+    """Signs in which vectors with the threshold's cosine differ: mean and four standard deviations."""
+    p = np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    return 128 * p + 4 * np.sqrt(128 * p * (1 - p))
+
+
+def shard(groups: DataFrame, shard_rows: int, most_visits: float, most: int, threshold: float) -> DataFrame:
+    """shard, part, block, node, n, role, vec: each vector in its home shard, and as a guest in the shards that it is invited to.
+
+    Only sketches of vectors visit the shards that may hold links of theirs; a shard invites those whose sketch is near
+    that of a vector at home. A shard of over `most` nodes or queries is dealt by hash into parts of nodes and blocks of
+    queries; each part meets each block.
     """
     spark = groups.sparkSession
     sizes = {r["d"]: r["count"] for r in groups.groupBy(F.size("vec").alias("d")).count().collect()}
-    sample = groups.orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).select("vec").toArrow().column(0).to_pylist()
-    by_size: dict[int, np.ndarray] = {}
+    share = min(1 << 20, -(-SAMPLE_ROWS * (1 << 20) * 11 // (10 * max(1, sum(sizes.values())))))
+    sample = groups.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < share).select("vec").limit(SAMPLE_ROWS).toArrow().column(0).to_pylist()
+    by_size = {}
     for d, n in sizes.items():
-        own = [v for v in sample if len(v) == d]
-        if own:
-            x = unit_rows(pa.array(own, pa.list_(pa.float64())))
-            by_size[d] = centres(x, max(1, min(-(-n // shard_rows), MOST_CENTROIDS, len(own) // 4)))
-    known = spark.sparkContext.broadcast(by_size)
+        if own := [v for v in sample if len(v) == d]:
+            by_size[d] = learned(own, n, shard_rows, most_visits, threshold)
+    known, bound = spark.sparkContext.broadcast(by_size), sketch_bound(threshold)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch.column(2)])
+            lengths = np.array([len(v) for v in batch.column(1)])
             for d in np.unique(lengths):
                 at = np.flatnonzero(lengths == d)
-                c = known.value.get(int(d))
                 for i in range(0, len(at), _BLOCK):
                     part = batch.take(pa.array(at[i : i + _BLOCK]))
-                    x = unit_rows(part.column(2))
-                    role = roles(x, c, overlap, threshold) if c is not None else np.full((len(x), 1), NODE | HOME | QUERY)
-                    row, to = np.nonzero(role)
-                    for j in range(0, len(row), 8 * _BLOCK):
-                        own, centre = row[j : j + 8 * _BLOCK], to[j : j + 8 * _BLOCK]
-                        took = part.take(pa.array(own))
-                        yield pa.RecordBatch.from_arrays([pa.array(centre + int(d) * MOST_CENTROIDS, pa.int64()), took.column(0), took.column(1), pa.array(role[own, centre].astype(np.int64)), took.column(2)], ["shard", "node", "n", "role", "vec"])
-
-    dealt = cut(groups.select("node", "n", "vec").mapInArrow(assign, f"shard long, node long, n long, role long, vec {_VECTOR}"))
-    is_node, is_query = F.col("role").bitwiseAND(NODE) > 0, F.col("role").bitwiseAND(QUERY) > 0
-    pieces = [F.ceil(F.count(F.when(c, 1)) / most).cast("int").alias(name) for c, name in ((is_node, "parts"), (is_query, "blocks"))]
-    large = dealt.groupBy("shard").agg(*pieces).where("parts > 1 or blocks > 1").select("shard", F.greatest("parts", F.lit(1)).alias("parts"), F.greatest("blocks", F.lit(1)).alias("blocks"))
-    split = dealt.join(F.broadcast(large), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    split = split.withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
-    # a node is in its part for every block, a query in its block for every part
-    down = F.when(is_node, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("p").alias("part"), b.alias("block"))))
-    along = F.when(is_query, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("b").alias("block"))))
-    none = F.expr("cast(array() as array<struct<part:int,block:int>>)")
-    split = split.withColumn("cell", F.explode(F.array_union(F.coalesce(down, none), F.coalesce(along, none))))
-    bits = F.when(F.col("cell.part") == F.col("p"), NODE | HOME).otherwise(0) + F.when(F.col("cell.block") == F.col("b"), QUERY).otherwise(0)
-    return split.select("shard", "cell.part", "cell.block", "node", "n", F.col("role").bitwiseAND(bits).alias("role"), "vec")
-
-
-def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, most: int = SHARD_MOST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                    x = unit_rows(part.column(1))
+                    if d in known.value:
+                        c, owner, reach = known.value[int(d)]
+                        home, to = visits(x, c, reach)
+                        to[np.arange(len(x)), home] = True
+                        home = owner[home]
+                    else:
+                        home, to, owner = np.zeros(len(x), np.int64), np.ones((len(x), 1), bool), np.zeros(1, np.int64)
+                    row, at_centroid = np.nonzero(to)
+                    row, where = np.divmod(np.unique(row * MOST_CENTROIDS + owner[at_centroid]), MOST_CENTROIDS)
+                    signs = sketches(x)[row]
+                    yield pa.RecordBatch.from_arrays([pa.array(where + int(d) * MOST_CENTROIDS, pa.int64()), part.column(0).take(pa.array(row)), pa.array(home[row] == where), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["shard", "node", "home", "s", "t"])
+
+    def invite(table: pa.Table) -> pa.Table:
+        ids, home = table["node"].to_numpy(), table["home"].to_numpy()
+        signs = np.stack([table[k].to_numpy() for k in ("s", "t")]).view(np.uint64)
+        at, ahead = np.flatnonzero(home), np.flatnonzero(~home)
+        near, step = [at], max(1, (1 << 22) // max(1, len(at)))
+        for i in range(0, len(ahead), step):
+            block = ahead[i : i + step]
+            apart = sum(np.bitwise_count(s[block][:, None] ^ s[at]).astype(np.uint16) for s in signs)
+            near.append(block[(apart <= bound).any(1)])
+        near = np.concatenate(near)
+        return pa.table({"shard": table["shard"].take(pa.array(near)), "node": ids[near], "home": home[near]})
+
+    visiting = groups.select("node", "vec").mapInArrow(visit, "shard long, node long, home boolean, s long, t long")
+    invited = cut(visiting.groupBy("shard").applyInArrow(invite, "shard long, node long, home boolean"))
+    free_shuffles(spark)
+    parts = F.ceil(F.count("*") / most).cast("int")
+    large = invited.groupBy("shard").agg(parts.alias("parts")).where("parts > 1")
+    split = invited.join(F.broadcast(large), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
+    # a node is in its part for every block, and in its block for every part
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    cells = F.array_union(F.transform(every, lambda b: F.struct(F.col("p").alias("part"), b.alias("block"))), F.transform(every, lambda p: F.struct(p.alias("part"), F.col("b").alias("block"))))
+    split = split.withColumn("cell", F.explode(cells))
+    role = F.when(F.col("cell.part") == F.col("p"), F.when(F.col("home"), NODE | HOME).otherwise(NODE)).otherwise(0) + F.when(F.col("cell.block") == F.col("b"), QUERY).otherwise(0)
+    return split.select("shard", "cell.part", "cell.block", "node", role.cast("long").alias("role")).join(groups.select("node", "n", "vec"), "node")
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of what is no longer referred to deleted, which else waits until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, most_visits: float = MOST_VISITS, most: int = SHARD_MOST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of each row: links to other rows with a cosine of at least `threshold`.
 
-    Equal vectors are one node with a count of copies. Nodes go into overlapping shards of their nearest centroids
-    (learned from SAMPLE_ROWS rows); each shard builds its robust-pruned graph, adjacency lists are united, and each node
-    is searched in its home shard: from its own node greedily on through all nodes in range. In every other
-    shard that may hold a link of it (see roles()) it is a guest, multiplied with the nodes at home there; a link is
-    counted where its other node is at home, so once. Every link is verified by its cosine in double precision. Shards
-    return counts and a spanning forest, never pairs; components follow from the forests. recall() audits the search.
+    Equal vectors are one node with a count of copies. Nodes go into shards of their nearest centroids (learned from
+    SAMPLE_ROWS rows); sketches visit the other shards that may hold a link (see learned()), and vectors follow where
+    they are invited, so shards overlap. Each shard builds its robust-pruned graph, and each of its nodes is searched
+    from its own place greedily on through all nodes in range; a link is counted where its other node is at home, so
+    once. Every link is verified by its cosine in double precision. Shards return counts and a spanning forest, never
+    pairs; components follow from the forests. recall() audits the search. Vectors move as they are stored, three times.
 
     One row for each input row. Null, zero, empty or non-finite vectors and those with null components, and rows
     without an id, have 0 links and are their own component, kept; repeated rows are other rows and link; vectors of
     unlike lengths don't; an empty table gives none; other columns are left out.
     """
-    vec = F.col(vec_col).cast(_VECTOR)
+    kind = df.schema[vec_col].dataType.simpleString()
+    vec = F.col(vec_col).cast(kind if kind == "array<float>" else _VECTOR)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull() & usable(vec), vec).alias("vec"))
-    groups = cut(rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("node0"), F.count("*").alias("n")))
-    # of unlike vectors with the same least id, all but one get a node id of their own
-    first = groups.groupBy("node0").agg(F.max("vec").alias("first"), F.count("*").alias("c")).where("c > 1")
-    own = F.when(F.col("c").isNotNull() & (F.col("vec") != F.col("first")), -F.abs(F.xxhash64("vec"))).otherwise(F.col("node0"))
-    groups = cut(groups.join(first, "node0", "left").select(own.alias("node"), "node0", "n", "vec"))
-    shards = cut(shard(groups, shard_rows, overlap, most, threshold))
-    graph = cut(build_graph(shards))
-    found = cut(search_graph(shards, graph, threshold))
+    keys = [F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2")]
+    groups = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("node0"), F.count("*").alias("n"))
+    groups = cut(groups.select(F.monotonically_increasing_id().alias("node"), "node0", "n", *keys, "vec"))
+    free_shuffles(df.sparkSession)
+    found = cut(search_graph(shard(groups, shard_rows, most_visits, most, threshold), threshold))
+    free_shuffles(df.sparkSession)
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("label is not null").select(F.col("node").alias("a"), F.col("label").alias("b")))
-    judged = cut(groups.join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    judged = cut(groups.drop("vec").join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     judged = judged.join(judged.groupBy("component").agg(F.min("node0").alias("least")), "component")
-    judged = judged.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component"))
-    out = rows.where("vec is not null").join(judged, "vec").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    judged = judged.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component"))
+    out = rows.where("vec is not null").select("vec_id", *keys).join(judged, ["k1", "k2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     # what can't link is kept out of the join, where nulls would be one key
     out = out.unionByName(rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def recall(df: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 50, block: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> float:
-    """Links found for the rows whose id is divisible by `every`, over those that brute force against all rows finds; queries come to the driver in blocks of about `block`."""
+def recall(df: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 50, block: int = 2000, most_blocks: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> float:
+    """Links found for the rows whose id is divisible by `every`, over those that brute force against all rows finds; queries come to the driver in blocks of about `block`, dealt by hash, of which most_blocks at most are asked."""
     vec = F.col(vec_col).cast(_VECTOR)
     rows = df.select(F.col(id_col).cast("long").alias("k"), vec.alias("vec")).where(usable(vec) & F.col(id_col).isNotNull())
     asked = rows.where(F.col("k") % every == 0).join(found.select(F.col("vec_id").alias("k"), "n_links"), "k")
     blocks = 1 + asked.count() // block
     hit = true = 0
-    for i in range(blocks):
+    for i in range(min(blocks, most_blocks or blocks)):
         part = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).toArrow().to_pylist()
         if not part:
             continue
@@ -385,9 +421,9 @@ def recall(df: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every:
 
 
 def audited(df: DataFrame, least: float = LEAST_RECALL, **options) -> DataFrame:
-    """near_vectors() of df, whose search has been audited by recall() over every row whose id is divisible by 50; RuntimeError under `least`."""
+    """near_vectors() of df, whose search has been audited by recall() over rows whose id is divisible by 50, AUDIT_BLOCKS of them at most as each meets all rows; RuntimeError under `least`."""
     found = cut(near_vectors(df, **options))
-    got = recall(df, found, options.get("threshold", THRESHOLD), id_col=options.get("id_col", "vec_id"), vec_col=options.get("vec_col", "embedding"))
+    got = recall(df, found, options.get("threshold", THRESHOLD), most_blocks=AUDIT_BLOCKS, id_col=options.get("id_col", "vec_id"), vec_col=options.get("vec_col", "embedding"))
     if got < least:
         raise RuntimeError(f"the search found {got:.3f} of the audited links")
     return found
