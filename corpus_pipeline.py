@@ -31,6 +31,12 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def heaps_back(spark: SparkSession) -> None:
+    """Have every executor collect its garbage, after which its heap shrinks: one that a stage has grown would leave the next one's Python workers too little."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without letters or with a posterior under one half go.
 
@@ -49,6 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id or without a word stay; of rows that repeat both id and text one stays; very long texts are
     compared whole; an empty table stays empty; extra columns of any name stay.
     """
+    heaps_back(spark)
     bounded(spark)
     return deduplicate(docs)
 
@@ -59,6 +66,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, a null source is one owner; repeated rows are masked alike; very long texts are scanned
     whole; an empty table stays empty; extra columns of any name stay.
     """
+    heaps_back(spark)
     return redact(docs)
 
 
@@ -68,6 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source; rows without an id are drawn by their text; repeated rows are repeated alike; very long
     texts go with their rows; an empty table stays empty; extra columns of any name stay.
     """
+    heaps_back(spark)
     held, back = set_aside(docs, ("copy", "shuffle_key"))
     return replicate(held, tempered_rates(held)).select(*held.columns).withColumnsRenamed(back)
 
@@ -78,6 +87,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id stays null, a null or empty text has no ids; repeated rows stay; very long texts are encoded whole; an
     empty table gives none; extra columns, whatever their names, are left out.
     """
+    heaps_back(spark)
     bounded(spark)
     return decode(encode(docs)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 

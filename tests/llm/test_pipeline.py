@@ -64,3 +64,14 @@ def test_stages_on_odd_tables(spark):
     assert len(encoded) == len(rows) and {r.doc_id: r.n_tokens for r in encoded}[100] == 0
     one = corpus_pipeline.STAGES[1][1](spark, docs, D).collect()
     assert sum(r.doc_id == 103 for r in one) == 1 and {100, 101, None} <= {r.doc_id for r in one}
+
+
+def test_heaps_are_given_back_between_stages(spark):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "Mark" in b.getName())
+
+    docs = spark.createDataFrame([(1, "some words", "src")], "doc_id long, text string, source string")
+    for stage in (corpus_pipeline.secret_scan, corpus_pipeline.bpe):
+        before = collections()
+        stage(spark, docs, "")
+        assert collections() > before
